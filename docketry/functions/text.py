@@ -99,10 +99,11 @@ _MULTI = {k: v for k, v in _MULTI.items() if len(v) > 1}
 
 def _compat(c: Column) -> Column:
     plain = F.translate(c, *_COMPAT)
-    long_form = plain
-    for ch, repl in _MULTI.items():
-        long_form = F.replace(long_form, F.lit(ch), F.lit(repl))
-    # the chain of replacements only runs for the rare rows that hold such a character
+    # rare rows that hold a character with a longer form go character by character
+    table = F.expr("map(" + ", ".join(f"'{x}'" for pair in _MULTI.items() for x in pair) + ")")
+    long_form = F.array_join(
+        F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), ""
+    )
     return F.when(F.rlike(c, F.lit("[" + "".join(_MULTI) + "]")), long_form).otherwise(plain)
 
 
