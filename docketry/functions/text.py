@@ -27,6 +27,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that it uses more than once, with the value computed once.
+
+    An expression is a tree, so naming a long one twice doubles it; this keeps it a single node.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c) -> Column:
     """Trim every Unicode blank at both ends (plain ``trim`` only drops spaces)."""
     return F.trim(col(c), F.lit(BLANKS))

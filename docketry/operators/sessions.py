@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.jsontext import kind, member, members, scalar_text, strict_json
-from docketry.functions.text import filled, or_default, rstrip, squeeze, strip, text, truncate_title
+from docketry.functions.text import filled, let, or_default, rstrip, squeeze, strip, text, truncate_title
 from docketry.operators.blocks import lookback
 
 # Fixed values.
@@ -177,19 +177,19 @@ def consultation_title(question, answer=None, mode: str = "catalog") -> Column:
         label = F.when(is_session_label(line), strip(relabel(line))).otherwise(line)
         cut = F.concat(rstrip(F.left(label, F.lit(93))), F.lit("..."))
         return F.when(line == "", "Discussion").when(F.length(label) > 96, cut).otherwise(label)
-    stored = text(answer)
-    v = F.when(stored.startswith("{"), strict_json(stored))
-    title = strip(scalar_text(v, "$.title"))
-    if mode == "chat":
-        usable = F.size(restorable(v)) > 0
-        from_payload = F.when(usable, truncate_title(title))
-    else:
-        from_payload = F.when(title != "", truncate_title(title))
+
+    def stored_title(v):
+        title = strip(scalar_text(v, "$.title"))
+        if mode == "chat":
+            return F.when(F.size(restorable(v)) > 0, truncate_title(title))
+        return let(title, lambda t: F.when(t != "", truncate_title(t)))
+
+    from_payload = let(
+        text(answer), lambda a: F.when(a.startswith("{"), let(strict_json(a), stored_title))
+    )
     return (
         F.when(own, truncate_title(direct))
-        .when(from_payload.isNotNull(), from_payload)
-        .when(direct != "", truncate_title(relabel(direct)))
-        .otherwise("Discussion")
+        .otherwise(F.coalesce(from_payload, F.when(direct != "", truncate_title(relabel(direct))), F.lit("Discussion")))
     )
 
 
