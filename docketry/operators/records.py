@@ -103,7 +103,7 @@ def clean_field(field: Column, key: Column | None = None) -> Column:
 def normalize_templates(df: DataFrame, now=None) -> DataFrame:
     """P3, nested fields included; rows without id or name are dropped."""
     fields = F.filter(
-        F.transform(F.filter("fields", lambda f: f.isNotNull()), clean_field),
+        F.transform(F.filter("fields", lambda f: f.isNotNull()), lambda f: clean_field(f)),
         lambda f: (f["key"] != "") & (f["label"] != ""),
     )
     out = df.withColumns(

@@ -160,9 +160,10 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("batch_id"),
-        F.col("l_linenumber").cast("bigint").alias("pos"),
+        F.row_number().over(w).cast("bigint").alias("pos"),
         F.concat(F.lit(" File_"), F.col("l_partkey").cast("string"), F.lit(".PDF")).alias("file_name"),
         (F.col("l_returnflag") == "R").alias("failed"),
         F.when(F.col("l_linenumber") % 5 == 0, " ").otherwise(F.concat(F.lit("u"), F.col("l_suppkey").cast("string"))).alias("uploaded_id"),
@@ -291,7 +292,7 @@ FROM (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS text
     ),
     "v_upload_rows": (
         (),
-        """SELECT l_orderkey AS batch_id, CAST(l_linenumber AS bigint) AS pos, concat(' File_', cast(l_partkey AS varchar), '.PDF') AS file_name,
+        """SELECT l_orderkey AS batch_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, concat(' File_', cast(l_partkey AS varchar), '.PDF') AS file_name,
   l_returnflag = 'R' AS failed, CASE WHEN l_linenumber % 5 = 0 THEN ' ' ELSE concat('u', cast(l_suppkey AS varchar)) END AS uploaded_id,
   CAST(l_quantity AS int) AS chunk_count FROM lineitem""",
     ),

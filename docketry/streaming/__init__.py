@@ -1 +1 @@
-
+"""Event streams: packets, turn fold, debounce, changed-only sink."""
