@@ -198,11 +198,11 @@ def _containment(wanted: DataFrame, names: DataFrame) -> DataFrame:
     """
     w, n = wanted.where(F.col("want") != ""), names.where(F.col("name") != "")
     hits = _mutual(w, n.select("name")).join(n, "name").groupBy("want").agg(F.min("order").alias("order"))
-    first = names.agg(F.min("order")).scalar()
-    blank_name = names.where(F.col("name") == "").agg(F.min("order")).scalar()
+    blank = F.min(F.when(F.col("name") == "", F.col("order")))
+    ends = names.agg(F.struct(F.min("order").alias("first"), blank.alias("blank"))).scalar()
     found = wanted.join(hits, "want", "left")
     return found.select(
-        "want", F.when(F.col("want") == "", first).otherwise(F.least(F.col("order"), blank_name)).alias("order")
+        "want", F.when(F.col("want") == "", ends["first"]).otherwise(F.least(F.col("order"), ends["blank"])).alias("order")
     )
 
 
@@ -254,30 +254,23 @@ def resolve_presets(wanted: DataFrame, documents: DataFrame) -> DataFrame:
     scoped = d.select("doc_id", "order", "name", "_own", F.explode(F.array(F.col("_own"), F.lit(ALL))).alias("_cat"))
     first = scoped.groupBy("_cat", "name").agg(F.min(F.struct("order", "doc_id", "_own")).alias("_d"))
     asked = req.where(F.col("want") != "").select(F.col("category").alias("_cat"), "want").distinct()
-    exact = asked.join(first.withColumnRenamed("name", "want"), ["_cat", "want"], "left")
-    residue = exact.where(F.col("_d").isNull()).select("_cat", "want")
-    names = first.select("_cat", "name", "_d").where(F.col("name") != "")
-    pairs = _mutual(residue.select("want").distinct(), names.select("name").distinct())
-    blank = first.where(F.col("name") == "").select("_cat", "_d")
-    loose = (
-        residue.join(pairs, "want")
-        .join(names, ["_cat", "name"])
-        .select("_cat", "want", "_d")
-        .unionByName(residue.join(blank, "_cat").select("_cat", "want", "_d"))
-        .groupBy("_cat", "want")
-        .agg(F.min("_d").alias("_l"))
-    )
-    found = exact.join(loose, ["_cat", "want"], "left").select(
-        F.col("_cat").alias("category"), "want", F.coalesce("_d", "_l").alias("_hit")
+    # equal texts contain each other, so one set of pairs serves both rules
+    pairs = _mutual(asked.select("want").distinct(), first.select("name").where(F.col("name") != "").distinct())
+    named_hits = asked.join(pairs, "want").join(first, ["_cat", "name"])
+    blank_hits = asked.join(first.where(F.col("name") == ""), "_cat")
+    hits = named_hits.select("_cat", "want", "name", "_d").unionByName(blank_hits.select("_cat", "want", "name", "_d"))
+    best = F.struct((F.col("name") != F.col("want")).alias("loose"), F.col("_d").alias("d"))
+    found = hits.groupBy("_cat", "want").agg(F.min(best).alias("_h")).select(
+        F.col("_cat").alias("category"), "want", F.col("_h.d").alias("_hit")
     )
     out = req.join(found, ["category", "want"], "left")
     known = documents.select("doc_id", F.col("category").alias("_known"))
-    named = lookup(out, known, "doc_id")
-    by_id = F.col("_known").isNotNull()
-    return named.select(
+    by_id = lookup(wanted.where(F.col("doc_id").isNotNull()).select("request_id", "doc_id"), known, "doc_id")
+    fixed = by_id.where(F.col("_known").isNotNull()).select("request_id", F.col("doc_id").alias("_doc"), "_known")
+    return out.join(fixed, "request_id", "left").select(
         "request_id",
-        F.when(by_id, F.col("_known")).otherwise(F.coalesce("_hit._own", "category")).alias("category"),
-        F.when(by_id, F.col("doc_id")).otherwise(F.col("_hit.doc_id")).alias("doc_id"),
+        F.coalesce("_known", "_hit._own", "category").alias("category"),
+        F.coalesce("_doc", F.when(F.col("_known").isNull(), F.col("_hit.doc_id"))).alias("doc_id"),
     )
 
 

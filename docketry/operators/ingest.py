@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import or_default, strip, text
-from docketry.operators.blocks import block_rank, ordered_concat
+from docketry.operators.blocks import RANK_BLOCK, TEXT_BLOCK, block_rank, ordered_concat
 
 PAPERCLIP = "\U0001f4ce"
 LABEL_NAMES = 3
@@ -23,22 +23,22 @@ def split_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     return part("items"), part("uploaded"), part("errors")
 
 
-def reconcile(files: DataFrame, uploaded: DataFrame, errors: DataFrame) -> DataFrame:
+def reconcile(files: DataFrame, uploaded: DataFrame, errors: DataFrame, block: int = RANK_BLOCK) -> DataFrame:
     """Which uploaded row belongs to which chosen file.
 
     Files whose lower-case name is among the errors of the batch failed. The others take the
     uploaded rows in order; a row without id takes nobody, and nobody behind it gets one.
-    ``files``: batch_id, pos, name; ``uploaded``: batch_id, pos, id; ``errors``: batch_id, filename.
+    ``block`` is the span of positions ranked together. ``files``: batch_id, pos, name; ``uploaded``: batch_id, pos, id; ``errors``: batch_id, filename.
     """
     name = F.lower(text("name"))
     failed_names = errors.select("batch_id", F.lower(text("filename")).alias("_n")).where(F.col("_n") != "").distinct()
     tagged = files.withColumn("_n", name)
     failed = tagged.join(failed_names, ["batch_id", "_n"], "left_semi")
-    kept = block_rank(tagged.join(failed_names, ["batch_id", "_n"], "left_anti"), ["batch_id"], "pos", "_rank")
+    kept = block_rank(tagged.join(failed_names, ["batch_id", "_n"], "left_anti"), ["batch_id"], "pos", "_rank", block)
     ids = uploaded.withColumn("_id", text("id"))
     first_blank = ids.groupBy("batch_id").agg(F.min(F.when(F.col("_id") == "", F.col("pos"))).alias("_stop"))
     live = ids.join(first_blank, "batch_id").where(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
-    slots = block_rank(live.select("batch_id", "pos", "_id"), ["batch_id"], "pos", "_rank").select(
+    slots = block_rank(live.select("batch_id", "pos", "_id"), ["batch_id"], "pos", "_rank", block).select(
         "batch_id", "_rank", F.col("_id").alias("file_id")
     )
     taken = kept.join(slots, ["batch_id", "_rank"], "left")
@@ -126,13 +126,13 @@ def submitted_ids(attached: DataFrame) -> DataFrame:
     )
 
 
-def attachment_preview(files: DataFrame, key: str) -> DataFrame:
+def attachment_preview(files: DataFrame, key: str, block: int = TEXT_BLOCK) -> DataFrame:
     """The first three names and how many more there are. ``files``: key, pos, name."""
     named = files.withColumn("name", text("name")).where(F.col("name") != "")
     counts = named.groupBy(key).agg(F.count(F.lit(1)).alias("files"))
     w = Window.partitionBy(key).orderBy("pos")
     head = named.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= LABEL_NAMES)
-    names = ordered_concat(head, [key], "pos", "name", "_names", ", ")
+    names = ordered_concat(head, [key], "pos", "name", "_names", ", ", block)
     more = F.when(F.col("files") > LABEL_NAMES, F.concat(F.lit(" +"), (F.col("files") - LABEL_NAMES).cast("string"))).otherwise("")
     return counts.join(names, key).select(key, "files", F.concat("_names", more).alias("preview"))
 

@@ -35,7 +35,7 @@ def clean_requests(requests: DataFrame) -> DataFrame:
 def words(*cols) -> Column:
     """Distinct folded words of several columns."""
     joined = F.concat_ws(" ", *[fold_catalog(c) for c in cols])
-    return F.array_sort(F.filter(F.array_distinct(F.split(joined, " ")), lambda w: w != ""))
+    return F.filter(F.array_distinct(F.split(joined, " ")), lambda w: w != "")
 
 
 def index_chunks(chunks: DataFrame) -> DataFrame:
@@ -46,21 +46,21 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "doc_id", "pos", "page_start", F.explode(words("text")).alias("word"))
 
 
-def _signatures(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct searches, and the map from requests to them. Repeated searches run once."""
+def distinct_searches(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct searches, and the map from requests to them. Repeated searches run once.
+
+    A search is named by the smallest request that asks for it.
+    """
+    signature = ["terms", "article", "category", "document_id"]
     r = clean_requests(requests).select(
         "request_id",
-        words("q", "keyword", "infraction_type", "jurisdiction").alias("terms"),
+        F.array_sort(words("q", "keyword", "infraction_type", "jurisdiction")).alias("terms"),
         fold_catalog("article").alias("article"),
         F.coalesce("category", F.lit("")).alias("category"),
         F.coalesce("document_id", F.lit("")).alias("document_id"),
     )
-    key = F.sha2(F.to_json(F.struct("terms", "article", "category", "document_id")), 256)
-    mapped = r.withColumn("search", key)
-    distinct = mapped.groupBy("search").agg(
-        *[F.first(c).alias(c) for c in ("terms", "article", "category", "document_id")]
-    )
-    return distinct, mapped.select("request_id", "search")
+    distinct = r.groupBy(*signature).agg(F.min("request_id").alias("search"))
+    return distinct, r.join(distinct, signature).select("request_id", "search")
 
 
 def matching_chunks(searches: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -70,21 +70,18 @@ def matching_chunks(searches: DataFrame, chunks: DataFrame, index: DataFrame | N
     searches with an article text look at chunk texts again, and only at chunks that matched.
     """
     index = index_chunks(chunks) if index is None else index
-    terms = searches.select("search", "article", F.explode("terms").alias("word"))
+    terms = searches.select("search", F.explode("terms").alias("word"))
     hits = salted_join(index, terms, "word", "chunk_id")
-    scored = hits.groupBy("search", "doc_id", "chunk_id", "pos", "page_start").agg(
-        F.count(F.lit(1)).alias("score"), F.first("article").alias("article")
-    )
-    plain = scored.where(F.col("article") == "").drop("article")
+    keys = ["search", "doc_id", "chunk_id", "pos", "page_start"]
+    scored = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("score"))
     bodies = chunks.select("chunk_id", fold_catalog("text").alias("_body"))
-    with_article = (
-        scored.where(F.col("article") != "")
-        .join(bodies, "chunk_id")
-        .where(F.contains(F.col("_body"), F.col("article")))
-        .select(*plain.columns)
+    limited = searches.where((F.size("terms") > 0) & (F.col("article") != "")).select("search", "article")
+    plain = scored.join(limited, "search", "left_anti")
+    checked = scored.join(limited, "search").join(bodies, "chunk_id").where(F.contains(F.col("_body"), F.col("article")))
+    return (
+        plain.unionByName(checked.select(*plain.columns))
+        .unionByName(_article_only(searches, bodies, index).select(*plain.columns))
     )
-    article_only = _article_only(searches, bodies, index)
-    return plain.unionByName(with_article).unionByName(article_only.select(*plain.columns))
 
 
 def _article_only(searches: DataFrame, bodies: DataFrame, index: DataFrame) -> DataFrame:
@@ -113,7 +110,7 @@ def search_documents(
 
     A request without words and article lists the documents its other filters allow, score NULL.
     """
-    searches, mapped = _signatures(requests)
+    searches, mapped = distinct_searches(requests)
     matched = matching_chunks(searches, chunks, index)
     per_doc = matched.groupBy("search", "doc_id").agg(
         F.max("score").cast("double").alias("search_score"),

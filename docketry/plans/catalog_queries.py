@@ -265,7 +265,7 @@ def search_requests(spark, sf_dir):
     ("v_chunks", "v_search_requests"),
 )
 def matching_chunks(spark, sf_dir):
-    searches, mapped = search._signatures(search_requests(spark, sf_dir))
+    searches, mapped = search.distinct_searches(search_requests(spark, sf_dir))
     m = search.matching_chunks(searches, fx.chunks(spark, sf_dir))
     per_search = m.groupBy("search").agg(F.count(F.lit(1)).alias("chunks"), F.sum("score").alias("score"))
     return mapped.join(per_search, "search").select("request_id", "chunks", "score")

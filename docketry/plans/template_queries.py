@@ -497,7 +497,7 @@ rs AS (SELECT kp.batch_id, kp.pos, kp.name, sl.id AS file_id, CASE WHEN sl.id IS
 
 @query("reconciled_uploads", "J7 S7", f"WITH {RECON} SELECT * FROM rs", ("v_upload_rows",))
 def reconciled_uploads(spark, sf_dir):
-    return ingest.reconcile(*upload_parts(spark, sf_dir))
+    return ingest.reconcile(*upload_parts(spark, sf_dir), fx.UPLOAD_BLOCK)
 
 
 @query(
@@ -515,7 +515,7 @@ FROM u FULL JOIN e ON e.batch_id = u.batch_id LEFT JOIN i ON i.batch_id = u.batc
 )
 def upload_summary(spark, sf_dir):
     files, uploaded, errors = upload_parts(spark, sf_dir)
-    return ingest.batch_summary(uploaded, errors, ingest.reconcile(files, uploaded, errors))
+    return ingest.batch_summary(uploaded, errors, ingest.reconcile(files, uploaded, errors, fx.UPLOAD_BLOCK))
 
 
 @query(
@@ -561,7 +561,7 @@ def new_upload_files(spark, sf_dir):
 )
 def attachment_labels(spark, sf_dir):
     u = fx.upload_rows(spark, sf_dir).select("batch_id", "pos", F.col("file_name").alias("name"))
-    p = ingest.attachment_preview(u, "batch_id")
+    p = ingest.attachment_preview(u, "batch_id", fx.UPLOAD_BLOCK)
     label = ingest.display_question(F.lit("  "), F.col("preview"))
     return p.select("batch_id", "files", label.alias("label"), sessions.first_attachment(label).alias("first_name"))
 

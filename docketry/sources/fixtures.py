@@ -11,10 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# positions of one line number of an upload batch
+UPLOAD_BLOCK = 10_000_000_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores when the input is fewer files than cores.
+
+    A file of one row group is read by one task. A large table has many files and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user question with the assistant answer that follows it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -104,7 +117,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The non-empty lines of every document, three to a page."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return d.where(F.col("text") != "").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-"), F.col("pos").cast("string")).alias("chunk_id"),
         "doc_id",
@@ -160,10 +173,11 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    # a unique place per line: line numbers repeat inside an order
+    place = (F.col("l_linenumber").cast("bigint") * UPLOAD_BLOCK) + F.col("l_partkey") * 100000 + F.col("l_suppkey")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("batch_id"),
-        F.row_number().over(w).cast("bigint").alias("pos"),
+        place.alias("pos"),
         F.concat(F.lit(" File_"), F.col("l_partkey").cast("string"), F.lit(".PDF")).alias("file_name"),
         (F.col("l_returnflag") == "R").alias("failed"),
         F.when(F.col("l_linenumber") % 5 == 0, " ").otherwise(F.concat(F.lit("u"), F.col("l_suppkey").cast("string"))).alias("uploaded_id"),
@@ -196,7 +210,7 @@ def form_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, k = F.col("p_name"), F.col("p_partkey") % 6
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")).select(
         F.col("p_partkey").alias("request_id"),
         F.when(k == 0, F.concat(F.lit('{"name":"'), name, F.lit('","category":"'), "p_type", F.lit('"}')))
         .when(k == 1, F.concat(F.lit('Voici : ```json\n{"name":"'), name, F.lit('"}\n```')))
@@ -292,7 +306,7 @@ FROM (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS text
     ),
     "v_upload_rows": (
         (),
-        """SELECT l_orderkey AS batch_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, concat(' File_', cast(l_partkey AS varchar), '.PDF') AS file_name,
+        """SELECT l_orderkey AS batch_id, CAST(l_linenumber AS bigint) * 10000000000000 + l_partkey * 100000 + l_suppkey AS pos, concat(' File_', cast(l_partkey AS varchar), '.PDF') AS file_name,
   l_returnflag = 'R' AS failed, CASE WHEN l_linenumber % 5 = 0 THEN ' ' ELSE concat('u', cast(l_suppkey AS varchar)) END AS uploaded_id,
   CAST(l_quantity AS int) AS chunk_count FROM lineitem""",
     ),
