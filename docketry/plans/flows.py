@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import filled
 from docketry.operators import attribution, catalog, dashboard, drafts, ingest, linkage, records, search, sessions, templates
+from docketry.session import staged
 from docketry.streaming import fold, packets, sink
 
 
@@ -49,15 +50,18 @@ def user_dashboard(consultations: DataFrame, files: DataFrame, documents: DataFr
 def library_search(requests: DataFrame, chunks: DataFrame, documents: DataFrame, size: int = catalog.PAGE_LIST, index: DataFrame | None = None) -> DataFrame:
     """Search results of one page per request; loose category names are resolved first.
 
-    ``requests``: request_id, page and any of the search filters.
+    ``requests``: request_id, page and any of the search filters. The cleaned requests and the
+    matches are used several times each, so both are staged once.
     """
     if "category" in requests.columns:
         options = catalog.facet_values(documents, "category").select("value")
         names = catalog.resolve_labels(requests.select(F.col("category").alias("label")), options)
         known = names.select(F.col("label").alias("category"), F.nullif("category", F.lit(catalog.ALL)).alias("_known"))
         requests = requests.join(known, "category", "left").withColumn("category", F.col("_known")).drop("_known")
+        requests = staged(requests, "requests")
     found = search.search_documents(requests, chunks, documents, index)
     placed = found.withColumn("theme", catalog.theme("category")).withColumnRenamed("doc_pos", "pos")
+    placed = staged(placed, "matches")
     return catalog.page_rows(placed, requests.select("request_id", "page"), size)
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings. All of them can be changed on a live session, and each one is about plan
 # shape, not about results.
@@ -58,3 +58,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="docketry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, "docketry", f"{purpose}-{uuid.uuid4().hex}")
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result that is read several times to the shared folder, and read it back.
+
+    This cuts the lineage: later stages do not recompute it, and losing executors does not lose it.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
