@@ -63,25 +63,45 @@ def distinct_searches(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return distinct, r.join(distinct, signature).select("request_id", "search")
 
 
-def matching_chunks(searches: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def matching_chunks(searches: DataFrame, chunks: DataFrame, index: DataFrame | None = None, kinds=None) -> DataFrame:
     """F8: (search, doc_id, chunk_id, pos, page_start, score) of every matching chunk.
 
     An equality join of chunk words and query words; frequent words are spread over tasks. Only the
     searches with an article text look at chunk texts again, and only at chunks that matched.
     """
     index = index_chunks(chunks) if index is None else index
+    kinds = search_kinds(searches) if kinds is None else kinds
     terms = searches.select("search", F.explode("terms").alias("word"))
     hits = salted_join(index, terms, "word", "chunk_id")
     keys = ["search", "doc_id", "chunk_id", "pos", "page_start"]
     scored = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("score"))
     bodies = chunks.select("chunk_id", fold_catalog("text").alias("_body"))
     limited = searches.where((F.size("terms") > 0) & (F.col("article") != "")).select("search", "article")
-    plain = scored.join(limited, "search", "left_anti")
-    checked = scored.join(limited, "search").join(bodies, "chunk_id").where(F.contains(F.col("_body"), F.col("article")))
-    return (
-        plain.unionByName(checked.select(*plain.columns))
-        .unionByName(_article_only(searches, bodies, index).select(*plain.columns))
-    )
+    found = scored
+    if kinds.limited:
+        plain = scored.join(limited, "search", "left_anti")
+        checked = scored.join(limited, "search").join(bodies, "chunk_id").where(F.contains("_body", F.col("article")))
+        found = plain.unionByName(checked.select(*plain.columns))
+    if kinds.article_only:
+        found = found.unionByName(_article_only(searches, bodies, index).select(*found.columns))
+    return found
+
+
+def search_kinds(searches: DataFrame):
+    """Which kinds of searches a batch holds: one row over the distinct searches.
+
+    Decides which branches the plan gets, so that a usual batch reads the corpus once.
+    """
+    worded, article = F.size("terms") > 0, F.col("article") != ""
+
+    def some(condition):
+        return F.coalesce(F.bool_or(condition), F.lit(False))
+
+    return searches.agg(
+        some(worded & article).alias("limited"),
+        some(~worded & article).alias("article_only"),
+        some(~worded & ~article).alias("listing"),
+    ).first()
 
 
 def _article_only(searches: DataFrame, bodies: DataFrame, index: DataFrame) -> DataFrame:
@@ -111,7 +131,8 @@ def search_documents(
     A request without words and article lists the documents its other filters allow, score NULL.
     """
     searches, mapped = distinct_searches(requests)
-    matched = matching_chunks(searches, chunks, index)
+    kinds = search_kinds(searches)
+    matched = matching_chunks(searches, chunks, index, kinds)
     per_doc = matched.groupBy("search", "doc_id").agg(
         F.max("score").cast("double").alias("search_score"),
         F.count(F.lit(1)).alias("matched_chunk_count"),
@@ -123,9 +144,10 @@ def search_documents(
     facts = documents.select("doc_id", F.col("pos").alias("doc_pos"), "category")
     limits = searches.select("search", F.col("category").alias("_cat"), F.col("document_id").alias("_doc"))
     ranked = found.join(limits, "search").join(facts, "doc_id").where(_allowed())
-    listed = _listing(searches, facts)
     columns = ["search", "doc_id", "doc_pos", "category", "search_score", "matched_chunk_count", "matched_pages", "matched_snippet"]
-    results = ranked.select(*columns).unionByName(listed, allowMissingColumns=True)
+    results = ranked.select(*columns)
+    if kinds.listing:
+        results = results.unionByName(_listing(searches, facts), allowMissingColumns=True)
     return mapped.join(results, "search").drop("search")
 
 
