@@ -2,9 +2,10 @@
 
 1. Every text becomes a set of distinct word shingles; texts with one set share a node (their set's fingerprint).
 2. A node has ``bands * rows`` MinHash values. Nodes that agree on all rows of a band share a bucket.
-3. In every bucket the smallest node is paired with the others, so a bucket of m nodes gives m - 1 pairs. After the
-   links of these pairs are known, nodes of a bucket that are still in different components are paired as well, if
-   their set sizes allow a link. No link can be lost by this: a pair is only left out when its ends already are connected.
+3. In every bucket one node, the pivot, is paired with the others, so a bucket of m nodes gives m - 1 pairs. Buckets that
+   the links found so far leave in several components get another pivot, until few pairs across components are left or
+   after ``TURNS`` turns; then these pairs are made, if their set sizes allow a link. No link can be lost by this: a pair
+   is only left out when its ends already are connected.
 4. Pairs compare their signatures batch by batch; a pair goes when the posterior probability that its similarity
    reaches the threshold falls below ``miss``.
 5. What remains is compared on the full shingle sets, from the whole texts.
@@ -28,6 +29,8 @@ from docketry.session import staged
 BANDS, ROWS = 24, 4
 MISS = 1e-6
 BATCH = 24
+#: Turns of pivots at most, before what is left of a bucket is paired.
+TURNS = 6
 _rng = np.random.default_rng(7)
 MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
 ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -207,22 +210,32 @@ def classes(
     """
     spark: SparkSession = docs.sparkSession
     links = _Links(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, percent, miss)
-    pivots = staged(links.in_bands.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "pivot"), "pivots")
-    star = links.in_bands.join(pivots, "band").where("node <> pivot")
-    sizes = links.nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pn"))
-    star = star.select("pivot", "node", "n").distinct().join(sizes, "pivot").where(links.could_link("n", "pn"))
-    first = links.check(star.select(F.col("pivot").alias("x"), F.col("node").alias("y")))
-
-    known = components(spark, first.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    members = links.in_bands.join(pivots, "band").select("band", "node", "n", "pivot")
-    members = staged(members.join(known, "node", "left").select("band", "node", "n", "pivot", F.coalesce("comp", "node").alias("comp")), "members")
-    spread = members.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band")
-    mixed = staged(members.join(small(staged(spread, "spread")), "band", "left_semi"), "mixed")
-    other = mixed.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-    # the pivot's pairs are checked already
-    cross = mixed.where("node <> pivot").join(other, "band").where("node < y and comp <> cy").where(links.could_link("n", "ny"))
-    second = links.check(cross.select(F.col("node").alias("x"), "y").distinct())
-    edges = first.union(second).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # buckets with several nodes; the node that meets most others is a bucket's pivot: of copies it is the likeliest original
+    sizes = staged(links.in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
+    shared = staged(links.in_bands.join(sizes, "band").select("band", "node", "n", "m"), "shared")
+    weights = staged(shared.groupBy("node").agg(F.sum("m").alias("weight")), "weights")
+    members = staged(shared.join(weights, "node").select("band", "node", "n", "weight", F.col("node").alias("comp")), "members")
+    edges, turn, last = None, 0, False
+    while not last:
+        last = turn == TURNS or (turn > 0 and _cross_pairs(members) <= 4 * members.count())
+        if last:
+            other = members.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+            pairs = members.join(other, "band").where("node < y and comp <> cy").where(links.could_link("n", "ny")).select(F.col("node").alias("x"), "y")
+        else:
+            best = F.max(F.struct("weight", "node", "n", "comp")).alias("p")
+            pivots = members.groupBy("band").agg(best).select("band", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.comp").alias("cx"))
+            met = staged(members.join(staged(pivots, "pivots"), "band").where("node <> x"), "met")
+            pairs = met.where("comp <> cx").where(links.could_link("n", "nx")).select("x", F.col("node").alias("y"))
+        new = links.check(pairs.distinct()).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = new if edges is None else edges.union(new)
+        if not last:
+            # a pivot has met its whole bucket and leaves it; buckets within one component are done
+            comps = components(spark, edges)
+            left = met.select("band", "node", "n", "weight").join(comps, "node", "left")
+            left = staged(left.select("band", "node", "n", "weight", F.coalesce("comp", "node").alias("comp")), "left")
+            mixed = staged(left.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band"), "mixed")
+            members = staged(left.join(mixed, "band", "left_semi"), "members")
+        turn += 1
 
     comps = components(spark, edges)
     named = links.nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -237,6 +250,12 @@ def classes(
     )
 
 
+def _cross_pairs(members: DataFrame) -> int:
+    """Pairs of nodes of one bucket and different components."""
+    sizes = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return sizes.select(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one document of each group: the one with the smallest id; all columns stay as they are.
 

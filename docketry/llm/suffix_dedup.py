@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import BYTE, U64, blocks, mix, powers, signed, small
+from docketry.llm.common import BYTE, U64, blocks, mix, powers, signed
 from docketry.session import staged
 
 GRAM = 32
@@ -275,12 +275,12 @@ def intervals(docs: DataFrame, length: int, hot_runs: int = HOT_RUNS) -> DataFra
     )
     every = staged(found, "runs")
     shared = staged(every.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram"), "anchors")
-    every = staged(every.join(small(shared), "gram", "left_semi"), "shared_runs")
+    every = staged(every.join(shared, "gram", "left_semi"), "shared_runs")
     place = F.struct("doc_id", "print", "first", "last", "anchor")
     distinct = staged(every.groupBy("run", "gram").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("at")).select("run", "gram", "m", "at.*"), "distinct_runs")
 
     # whole runs that occur twice
-    twice = small(staged(distinct.where("m > 1").select("run", "gram", F.col("doc_id").alias("d0"), F.col("print").alias("p0"), F.col("first").alias("f0")), "twice"))
+    twice = staged(distinct.where("m > 1").select("run", "gram", F.col("doc_id").alias("d0"), F.col("print").alias("p0"), F.col("first").alias("f0")), "twice")
     again = every.join(twice, ["run", "gram"]).select(
         "doc_id", "print", F.col("first").alias("lo"), F.col("last").alias("hi"),
         (~((F.col("doc_id") == F.col("d0")) & (F.col("print") == F.col("p0")) & (F.col("first") == F.col("f0")))).alias("later"),
@@ -289,10 +289,10 @@ def intervals(docs: DataFrame, length: int, hot_runs: int = HOT_RUNS) -> DataFra
 
     # runs that differ but share an anchor
     several = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1")
-    several = small(staged(several, "several"))
+    several = staged(several, "several")
     wanted = distinct.join(several, "gram").select("doc_id", "print", "first", "last", "anchor", "gram", "run")
     wanted = staged(wanted.groupBy("doc_id", "print").agg(F.collect_list(F.struct("first", "last", "anchor", "gram", "run")).alias("wanted")), "wanted_runs")
-    wanted = small(wanted.select(F.col("doc_id").alias("wid"), F.col("print").alias("wprint"), "wanted"), F.size("wanted"))
+    wanted = wanted.select(F.col("doc_id").alias("wid"), F.col("print").alias("wprint"), "wanted")
     texts = docs.join(wanted, (docs["doc_id"] == F.col("wid")) & (docs["print"] == F.col("wprint"))).select("doc_id", "print", "text", "wanted")
     bodies = texts.mapInArrow(_cut(length), "doc_id long, print long, first long, last long, anchor long, gram long, run long, body binary")
     bodies = staged(bodies, "bodies").withColumn("key", F.col("gram")).drop("gram")
@@ -303,14 +303,14 @@ def intervals(docs: DataFrame, length: int, hot_runs: int = HOT_RUNS) -> DataFra
         hot = staged(counts.where(F.col("runs") > hot_runs).select("key"), "hot")
         if not hot.limit(1).count():
             break
-        parts.append(bodies.join(small(hot), "key", "left_anti"))
-        split = staged(bodies.join(small(hot), "key", "left_semi").select(*shape.names).mapInArrow(_refine(length, step), shape), "split")
+        parts.append(bodies.join(hot, "key", "left_anti"))
+        split = staged(bodies.join(hot, "key", "left_semi").select(*shape.names).mapInArrow(_refine(length, step), shape), "split")
         alive = staged(split.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "alive")
-        bodies = split.join(small(alive), "key", "left_semi").select(*shape.names)
+        bodies = split.join(alive, "key", "left_semi").select(*shape.names)
     else:
         # single strings: equal keys are equal strings, nothing is left to sort
         heads = bodies.groupBy("key").agg(F.min(F.struct("doc_id", "print", "first")).alias("head"))
-        heads = small(staged(heads, "heads"))
+        heads = staged(heads, "heads")
         single = bodies.join(heads, "key").select(
             "doc_id", "print", F.col("first").alias("lo"), F.col("last").alias("hi"), (F.struct("doc_id", "print", "first") != F.col("head")).alias("later")
         )
@@ -383,7 +383,6 @@ def _with_intervals(docs: DataFrame, doc_id: str, text: str, length: int, earlie
     found = intervals(keyed.select(F.col("__id").alias("doc_id"), F.col("__print").alias("print"), F.col("__text").alias("text")), length, hot_runs)
     found = found.where(F.col("earlier") == F.lit(earlier)).groupBy(F.col("doc_id").alias("fid"), F.col("print").alias("fprint"))
     found = staged(found.agg(F.collect_set(F.struct("lo", "hi")).alias("__found")), "repeated")
-    found = small(found, F.size("__found"))
     return keyed.join(found, (F.col("__id") == F.col("fid")) & (F.col("__print") == F.col("fprint")), "left").drop("fid", "fprint")
 
 
