@@ -2,10 +2,10 @@
 
 1. Every text becomes a set of distinct word shingles; texts with one set share a node (their set's fingerprint).
 2. A node has ``bands * rows`` MinHash values. Nodes that agree on all rows of a band share a bucket.
-3. In every bucket one node, the pivot, is paired with the others, so a bucket of m nodes gives m - 1 pairs. Buckets that
-   the links found so far leave in several components get another pivot, until few pairs across components are left or
-   after ``TURNS`` turns; then these pairs are made, if their set sizes allow a link. No link can be lost by this: a pair
-   is only left out when its ends already are connected.
+3. In every bucket one node, the pivot, is paired with the others, so a bucket of m nodes gives m - 1 pairs. Where the
+   links found leave a bucket in several components, its nodes of different components are paired if they still can
+   link: both were measured against the pivot, so what they can share inside the pivot is bounded, and what they share
+   beyond it they meet by. A pair is only left out when its ends are connected already or cannot link.
 4. Pairs compare their signatures batch by batch; a pair goes when the posterior probability that its similarity
    reaches the threshold falls below ``miss``.
 5. What remains is compared on the full shingle sets, from the whole texts.
@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.llm.common import U64, ascii_lower, blocks, components, fixed_binary, mix, shingles, signed, small, word_bounds, word_hashes
@@ -29,8 +30,6 @@ from docketry.session import staged
 BANDS, ROWS = 24, 4
 MISS = 1e-6
 BATCH = 24
-#: Turns of pivots at most, before what is left of a bucket is paired.
-TURNS = 6
 _rng = np.random.default_rng(7)
 MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
 ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -147,12 +146,17 @@ def _verify(width: int, percent: int):
                 for i, j, buf, offs in parts:
                     values, limits = sets_of(buf, offs, width)
                     side.extend(values[limits[k] : limits[k + 1]] for k in range(j - i))
-            ok = []
+            common, linked, outside = [], [], []
             for a, b in zip(*sets, strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["x", "y"])
+                both = np.isin(b, a, assume_unique=True)
+                k = int(both.sum())
+                common.append(k)
+                linked.append(k > 0 and 100 * k >= percent * (len(a) + len(b) - k))
+                outside.append(signed(b[~both]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(outside, pa.list_(pa.int64()))],
+                ["x", "y", "common", "linked", "outside"],
+            )
 
     return run
 
@@ -176,7 +180,8 @@ class _Links:
         return (F.col(a) * 100 >= F.col(b) * self.percent) & (F.col(b) * 100 >= F.col(a) * self.percent)
 
     def check(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that link."""
+        """Pairs (x, y) that survive the signatures, with the exact size of what they have in common, whether they link,
+        and the shingles of y that x lacks."""
         sig = self.nodes.select("node", "sig")
         signed_pairs = (
             pairs.join(sig.select(F.col("node").alias("x"), F.col("sig").alias("sx")), "x")
@@ -195,7 +200,7 @@ class _Links:
             .join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
             .select("x", "y", "tx", "ty")
         )
-        return staged(full.mapInArrow(_verify(self.width, self.percent), "x long, y long"), "verified")
+        return staged(full.mapInArrow(_verify(self.width, self.percent), "x long, y long, common long, linked boolean, outside array<long>"), "verified")
 
 
 def classes(
@@ -215,27 +220,35 @@ def classes(
     shared = staged(links.in_bands.join(sizes, "band").select("band", "node", "n", "m"), "shared")
     weights = staged(shared.groupBy("node").agg(F.sum("m").alias("weight")), "weights")
     members = staged(shared.join(weights, "node").select("band", "node", "n", "weight", F.col("node").alias("comp")), "members")
-    edges, turn, last = None, 0, False
-    while not last:
-        last = turn == TURNS or (turn > 0 and _cross_pairs(members) <= 4 * members.count())
-        if last:
-            other = members.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-            pairs = members.join(other, "band").where("node < y and comp <> cy").where(links.could_link("n", "ny")).select(F.col("node").alias("x"), "y")
-        else:
-            best = F.max(F.struct("weight", "node", "n", "comp")).alias("p")
-            pivots = members.groupBy("band").agg(best).select("band", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.comp").alias("cx"))
-            met = staged(members.join(staged(pivots, "pivots"), "band").where("node <> x"), "met")
-            pairs = met.where("comp <> cx").where(links.could_link("n", "nx")).select("x", F.col("node").alias("y"))
-        new = links.check(pairs.distinct()).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = new if edges is None else edges.union(new)
-        if not last:
-            # a pivot has met its whole bucket and leaves it; buckets within one component are done
-            comps = components(spark, edges)
-            left = met.select("band", "node", "n", "weight").join(comps, "node", "left")
-            left = staged(left.select("band", "node", "n", "weight", F.coalesce("comp", "node").alias("comp")), "left")
-            mixed = staged(left.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band"), "mixed")
-            members = staged(left.join(mixed, "band", "left_semi"), "members")
-        turn += 1
+    best = F.max(F.struct("weight", "node", "n")).alias("p")
+    pivots = staged(members.groupBy("band").agg(best).select("band", F.col("p.node").alias("x"), F.col("p.n").alias("nx")), "pivots")
+    met = staged(members.join(pivots, "band").where("node <> x").select("band", "node", "n", "x", "nx"), "met")
+    first = links.check(met.where(links.could_link("n", "nx")).select("x", F.col("node").alias("y")).distinct())
+    edges = first.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    # a pivot has met its whole bucket and leaves it; buckets within one component are done
+    met = met.join(components(spark, edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    met = staged(met.join(first.select("x", F.col("y").alias("node"), "common"), ["x", "node"], "left"), "measured")
+    mixed = staged(met.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band"), "mixed")
+    left = staged(met.join(mixed, "band", "left_semi"), "left")
+    other = left.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("common").alias("ky"))
+    # nodes without a common shingle beyond the pivot's have at most min(common, ky) shingles in common
+    most = F.least("common", "ky")
+    enough = F.col("common").isNull() | F.col("ky").isNull() | (most * 100 >= (F.col("n") + F.col("ny") - most) * percent)
+    pairs = left.join(other, "band").where("node < y and comp <> cy").where(links.could_link("n", "ny")).where(enough).select(F.col("node").alias("x"), "y")
+    # the others need some shingles beyond it in common, and so one among the rarer ones of each (in one order for both)
+    around = left.where("common is not null").select(F.col("x").alias("pivot"), "node", "n", "comp", "common").distinct()
+    beyond = around.join(first.select(F.col("x").alias("pivot"), F.col("y").alias("node"), F.explode("outside").alias("shingle")), ["pivot", "node"])
+    beyond = staged(beyond, "beyond")
+    often = staged(beyond.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    rank = F.row_number().over(W.partitionBy("pivot", "node").orderBy(F.col("often").desc(), "shingle"))  # within one text
+    ranked = staged(beyond.join(often, ["pivot", "shingle"]).withColumn("behind", rank), "ranked")
+    sides = ranked.select("pivot", "shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("common").alias("ky"), F.col("behind").alias("by"))
+    lacking = F.ceil((F.col("n") + F.col("ny")) * percent / F.lit(100 + percent)) - most
+    by_shingle = ranked.join(sides, ["pivot", "shingle"]).where("node < y and comp <> cy").where(links.could_link("n", "ny"))
+    by_shingle = by_shingle.where((lacking >= 1) & (F.col("behind") >= lacking) & (F.col("by") >= lacking))
+    second = links.check(pairs.union(by_shingle.select("node", "y")).distinct())
+    edges = edges.union(second.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     comps = components(spark, edges)
     named = links.nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -250,12 +263,6 @@ def classes(
     )
 
 
-def _cross_pairs(members: DataFrame) -> int:
-    """Pairs of nodes of one bucket and different components."""
-    sizes = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return sizes.select(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
-
-
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one document of each group: the one with the smallest id; all columns stay as they are.
 
