@@ -26,7 +26,7 @@ DIMS, BITS = 4, 10
 #: Text bytes of a range, about; a range leaves at most one sequence unfilled.
 RANGE_BYTES = 32 << 20
 #: Entries a worker's table of tokenised words may hold; a full table is started anew.
-CACHE = 300_000
+CACHE = 500_000
 
 
 def vectors(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -97,35 +97,33 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        self.words: dict[bytes, np.ndarray] = {}
-        self.parts: dict[bytes, list[int]] = {}
+        # ids as little-endian unsigned 32-bit numbers
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
-    def _part(self, piece: bytes) -> list[int]:
+    def _part(self, piece: bytes) -> bytes:
         ids = self.parts.get(piece)
         if ids is None:
             if len(self.parts) >= self.cache:
                 self.parts.clear()
-            ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+            ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             if len(piece) <= 64:
                 self.parts[piece] = ids
         return ids
 
-    def _word(self, word: bytes) -> np.ndarray:
+    def _word(self, word: bytes) -> bytes:
         plain = word.isascii() and b"'" not in word
         pieces = self.PLAIN.findall(word) if plain and not word.isalpha() else (word,)
-        ids = np.array([i for p in pieces for i in self._part(p)], np.uint32)
+        ids = b"".join([self._part(p) for p in pieces])
         if len(word) <= 64:
             self.words[word] = ids
         return ids
 
-    def encode(self, text: bytes) -> np.ndarray:
+    def encode(self, text: bytes) -> bytes:
         if len(self.words) >= self.cache:
             self.words.clear()
-        known, out = self.words.get, []
-        for w in text.lower().split():
-            ids = known(w)
-            out.append(self._word(w) if ids is None else ids)
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        known = self.words
+        return b"".join([known[w] if w in known else self._word(w) for w in text.lower().split()])
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -141,18 +139,18 @@ def _pack(path: str, end_id: int, length: int):
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
         at = 0
-        last_text, last_ids = None, None
+        last_text, last_ids, end = None, None, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in columns]
             for doc, text, curve in zip(*(batch.column(k) for k in range(3)), strict=True):
                 text = text.as_py() or ""
                 if last_ids is None or text != last_text:  # copies follow each other on the curve
-                    last_ids = np.append(tokens.encode(text.encode()), np.uint32(end_id)).astype("<u4")
+                    last_ids = tokens.encode(text.encode()) + end
                     last_text = text
-                n, start, doc, curve = len(last_ids), 0, doc.as_py(), curve.as_py()
+                n, start, doc, curve = len(last_ids) // 4, 0, doc.as_py(), curve.as_py()
                 while start < n:
                     take = min(n - start, length - at)
-                    crc = zlib.crc32(last_ids[start : start + take].tobytes())
+                    crc = zlib.crc32(last_ids[4 * start : 4 * (start + take)])
                     for column, v in zip(out, (doc, start, take, crc, n, sequence, at, curve), strict=True):
                         column.append(v)
                     start, at = start + take, at + take

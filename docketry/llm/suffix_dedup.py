@@ -252,7 +252,7 @@ def _refine(length: int, step: int):
                     # common to all strings that begin b*step .. b*step+step-1 bytes before the anchor
                     lo, hi = left - b * step, left - (b * step + step - 1) + length
                     core = _hash(prefix, np.array([lo]), np.array([hi]))[0]
-                    key = mix(np.array([core * U64(31) + U64(b) + U64(r["key"] & ((1 << 64) - 1))], np.uint64))
+                    key = mix(np.array([(int(core) * 31 + b + r["key"]) & ((1 << 64) - 1)], np.uint64))
                     for k in names:
                         out[k].append(r[k])
                     out["key"][-1] = int(signed(key)[0])
