@@ -56,8 +56,9 @@ def distinct_searches(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         "request_id",
         F.array_sort(words("q", "keyword", "infraction_type", "jurisdiction")).alias("terms"),
         fold_catalog("article").alias("article"),
-        F.coalesce("category", F.lit("")).alias("category"),
-        F.coalesce("document_id", F.lit("")).alias("document_id"),
+        # "all" is no filter
+        F.coalesce(F.nullif("category", F.lit("all")), F.lit("")).alias("category"),
+        F.coalesce(F.nullif("document_id", F.lit("all")), F.lit("")).alias("document_id"),
     )
     distinct = r.groupBy(*signature).agg(F.min("request_id").alias("search"))
     return distinct, r.join(distinct, signature).select("request_id", "search")

@@ -32,7 +32,7 @@ def raw_packets(spark, sf_dir):
     """The same events as server-sent packets, some of them broken."""
     e = fx.stream_events(spark, sf_dir)
     name = F.when(F.col("event") == "error", "detail").otherwise("text")
-    data = F.concat(F.lit('{"'), name, F.lit('":\r\ndata: '), F.to_json(F.struct("text")).substr(9, 1000), F.lit(""))
+    data = F.concat(F.lit('{"'), name, F.lit('":\r\ndata: '), F.to_json(F.struct("text")).substr(9, (1 << 31) - 1), F.lit(""))
     good = F.concat(F.lit("event: x\nevent: "), "event", F.lit("\ndata: "), data)
     k = F.col("seq") % 10
     packet = (

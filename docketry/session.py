@@ -48,13 +48,16 @@ def build_session(app: str = "docketry", master: str | None = None, **extra: str
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    Only when the session names no folder (tests on one machine) a temporary one is made and
-    recorded in the session, so that every later caller uses the same one.
+    Only when a session of one machine names no folder (as in tests) a temporary one is made and
+    recorded in the session, so that every later caller uses the same one. On a cluster the setting
+    is required: executors would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="docketry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, "docketry", f"{purpose}-{uuid.uuid4().hex}")
