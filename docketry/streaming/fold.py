@@ -6,6 +6,7 @@ answer, reasoning, status, finish_reason, rag_note, rag_sources.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,12 +20,14 @@ from docketry.operators.blocks import ordered_concat
 STREAM_ERROR = "Une erreur est survenue pendant le streaming."
 OUTPUT = (
     "stream_id bigint, answer string, reasoning string, status string, finish_reason string, "
-    "rag_note string, rag_sources string, last_seq bigint"
+    "rag_note string, rag_sources string, last_seq bigint, n_events bigint"
 )
 STATE = (
     "answer string, reasoning string, status string, finish_reason string, rag_note string, "
-    "rag_sources string, last_seq bigint"
+    "rag_sources string, last_seq bigint, n_events bigint, applied bigint, waiting bigint"
 )
+EVENT = "event string, text string, note string, reason string, sources string"
+KNOWN = ("meta", "token", "reasoning", "replace", "done", "error")
 EVENT_COLUMNS = ("note", "reason", "sources")
 
 
@@ -34,13 +37,13 @@ def _complete(events: DataFrame) -> DataFrame:
 
 
 def fold_batch(events: DataFrame) -> DataFrame:
-    """Fold finished streams. No stream is ever collected event by event.
+    """Fold finished streams. No stream is ever collected event by event; a replayed number counts once.
 
     First the few facts that decide everything are aggregated per stream (first terminal event,
     last replace, last meta), with map-side combine. Then only the tokens that survive are joined
     to text, block by block.
     """
-    e = _complete(events).where(F.col("event").isin("meta", "token", "reasoning", "replace", "done", "error"))
+    e = _complete(events).where(F.col("event").isin(*KNOWN)).dropDuplicates(["stream_id", "seq"])
     ends = e.groupBy("stream_id").agg(F.min(F.when(F.col("event").isin("done", "error"), F.col("seq"))).alias("_end"))
     live = e.join(ends, "stream_id").where(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
     replaces = (F.col("event") == "replace") & F.col("text").isNotNull()
@@ -75,81 +78,154 @@ def fold_batch(events: DataFrame) -> DataFrame:
     )
 
 
+@dataclasses.dataclass
+class Turn:
+    """A turn so far. ``applied``: every event up to this number is in it; ``waiting``: events kept beyond a gap."""
+
+    answer: list[str]
+    reasoning: list[str]
+    status: str = "streaming"
+    finish_reason: str = ""
+    rag_note: str = ""
+    rag_sources: str = "[]"
+    last_seq: int = -1
+    n_events: int = 0
+    applied: int = 0
+    waiting: int = 0
+
+    @classmethod
+    def of(cls, answer: str, reasoning: str, *rest) -> Turn:
+        return cls([answer], [reasoning], *rest)
+
+    def values(self) -> tuple:
+        """The row of ``STATE``; its first members are those of ``OUTPUT``."""
+        rest = [getattr(self, f.name) for f in dataclasses.fields(self)[2:]]
+        return "".join(self.answer), "".join(self.reasoning), *rest
+
+    def apply(self, seq: int, event: tuple) -> None:
+        name, value, note, reason, sources = event
+        if name not in KNOWN:
+            return
+        self.last_seq = seq
+        if name == "token":
+            self.answer.append(value or "")
+        elif name == "reasoning":
+            self.reasoning.append(value or "")
+        elif name == "replace":
+            self.answer = self.answer if value is None else [value]
+        elif name == "meta":
+            self.rag_note, self.rag_sources = note or "", "[]" if sources is None else sources
+        elif name == "done":
+            self.status, self.finish_reason, self.rag_note = "done", "stop" if reason is None else reason, note or ""
+            self.rag_sources = self.rag_sources if sources is None else sources
+        else:
+            self.status, self.finish_reason = "error", "stream_error" if reason is None else reason
+            self.answer = [STREAM_ERROR if value is None else value]
+
+    @property
+    def is_open(self) -> bool:
+        return self.status == "streaming"
+
+
 class TurnFold(StatefulProcessor):
-    """State of one stream: the turn so far. Events after the end, and replays, are ignored.
+    """State of one stream: the turn up to the first gap, and the events beyond it by number.
 
-    With a positive ``idle_ms`` a stream without new events for that long is closed as finished.
+    The turn given out holds all events seen so far in the order of their numbers, however they were
+    dealt over the batches. Replays, and events after the end, are ignored. With a positive
+    ``idle_ms`` a stream without new events for that long is closed as finished, gaps or not.
     """
 
-    def __init__(self, ttl_ms: int | None = None, idle_ms: int | None = None):
-        self._ttl_ms, self._idle_ms = ttl_ms, idle_ms
+    def __init__(self, first_seq: int, ttl_ms: int | None = None, idle_ms: int | None = None):
+        self._first_seq, self._ttl_ms, self._idle_ms = first_seq, ttl_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._turn = handle.getValueState("turn", STATE, self._ttl_ms)
+        self._later = handle.getMapState("later", "seq bigint", EVENT, self._ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turn = list(self._turn.get()) if self._turn.exists() else ["", "", "streaming", "", "", "[]", -1]
-        # only the state and this batch's pieces of one stream are held
-        batch = pd.concat(list(rows)).drop_duplicates("seq").sort_values("seq")
-        answer, reasoning = [turn[0]], [turn[1]]
-        for e in batch.itertuples(index=False):
-            if turn[2] != "streaming":
+        turn = Turn.of(*self._turn.get()) if self._turn.exists() else Turn([], [], applied=self._first_seq - 1)
+        for frame in rows:
+            self._take(turn, frame)
+        while turn.waiting and turn.is_open:
+            event = self._later.getValue((turn.applied + 1,))
+            if event is None:
                 break
-            if e.seq <= turn[6]:
-                continue
-            turn[6] = int(e.seq)
-            value = e.text if isinstance(e.text, str) else None
-            note = e.note if isinstance(e.note, str) else ""
-            if e.event == "token" and value:
-                answer.append(value)
-            elif e.event == "reasoning" and value:
-                reasoning.append(value)
-            elif e.event == "replace" and value is not None:
-                answer = [value]
-            elif e.event == "meta":
-                turn[4] = note
-                turn[5] = e.sources if isinstance(e.sources, str) else "[]"
-            elif e.event == "done":
-                turn[2], turn[3], turn[4] = "done", e.reason if isinstance(e.reason, str) else "stop", note
-                turn[5] = e.sources if isinstance(e.sources, str) else turn[5]
-            elif e.event == "error":
-                turn[2], turn[3] = "error", e.reason if isinstance(e.reason, str) else "stream_error"
-                answer = [value if value is not None else STREAM_ERROR]
-        turn[0], turn[1] = "".join(answer), "".join(reasoning)
-        self._turn.update(tuple(turn))
-        if self._idle_ms and turn[2] == "streaming":
+            self._later.removeKey((turn.applied + 1,))
+            turn.waiting -= 1
+            turn.applied += 1
+            turn.apply(turn.applied, tuple(event))
+        if turn.waiting and not turn.is_open:
+            self._later.clear()
+            turn.waiting = 0
+        self._turn.update(turn.values())
+        if self._idle_ms and turn.is_open:
             for old in list(self._handle.listTimers()):
                 self._handle.deleteTimer(old)
             self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._idle_ms)
-        yield self._row(key, turn)
+        yield self._row(key, self._with_later(turn))
+
+    def _take(self, turn: Turn, frame: pd.DataFrame) -> None:
+        """Apply what follows the turn without a gap; keep the rest by number."""
+        for seq, *event in frame[["seq", "event", "text", *EVENT_COLUMNS]].drop_duplicates("seq").sort_values("seq").itertuples(index=False, name=None):
+            seq, event = int(seq), tuple(x if isinstance(x, str) else None for x in event)
+            if not turn.is_open:
+                return
+            if seq <= turn.applied or (turn.waiting and self._later.containsKey((seq,))):
+                continue
+            turn.n_events += 1
+            if seq == turn.applied + 1:
+                turn.applied = seq
+                turn.apply(seq, event)
+            else:
+                self._later.updateValue((seq,), event)
+                turn.waiting += 1
+
+    def _with_later(self, turn: Turn) -> Turn:
+        """The turn with the events beyond its gaps."""
+        if not turn.waiting:
+            return turn
+        shown = Turn.of(*turn.values())
+        for (seq,), event in sorted((tuple(k), tuple(v)) for k, v in self._later.iterator()):
+            if not shown.is_open:
+                break
+            shown.apply(seq, event)
+        return shown
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """ST3: the input ended without a terminal event."""
         if self._turn.exists():
-            turn = list(self._turn.get())
-            if turn[2] == "streaming":
-                turn[2], turn[3] = "done", "stop"
-                self._turn.update(tuple(turn))
+            turn = Turn.of(*self._turn.get())
+            if turn.is_open:
+                turn = self._with_later(turn)
+                if turn.is_open:
+                    turn.status, turn.finish_reason = "done", "stop"
+                self._later.clear()
+                turn.waiting = 0
+                self._turn.update(turn.values())
                 yield self._row(key, turn)
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def _row(key, turn) -> pd.DataFrame:
-        names = ["answer", "reasoning", "status", "finish_reason", "rag_note", "rag_sources", "last_seq"]
-        return pd.DataFrame({"stream_id": [key[0]], **{n: [v] for n, v in zip(names, turn, strict=True)}})
+    def _row(key, turn: Turn) -> pd.DataFrame:
+        names = [c.split()[0] for c in OUTPUT.split(", ")[1:]]
+        return pd.DataFrame({"stream_id": [key[0]], **{n: [v] for n, v in zip(names, turn.values(), strict=False)}})
+
 
+def fold_stream(events: DataFrame, ttl_ms: int | None = None, idle_ms: int | None = None, first_seq: int = 1) -> DataFrame:
+    """The stateful form; needs the RocksDB state store. Emits the turn after every batch (update).
 
-def fold_stream(events: DataFrame, ttl_ms: int | None = None, idle_ms: int | None = None) -> DataFrame:
-    """The stateful form; needs the RocksDB state store. Emits the turn after every batch (update)."""
+    Events of a stream are numbered from ``first_seq`` on, usually without holes; a hole only keeps
+    the events after it in the state one by one.
+    """
     return (
         _complete(events)
         .select("stream_id", "seq", "event", "text", *EVENT_COLUMNS)
         .groupBy("stream_id")
         .transformWithStateInPandas(
-            statefulProcessor=TurnFold(ttl_ms, idle_ms),
+            statefulProcessor=TurnFold(first_seq, ttl_ms, idle_ms),
             outputStructType=OUTPUT,
             outputMode="update",
             timeMode="ProcessingTime" if (ttl_ms or idle_ms) else "none",
@@ -170,8 +246,8 @@ def close_open_turns(turns: DataFrame) -> DataFrame:
 
 def latest_turns(updates: DataFrame) -> DataFrame:
     """The last update of every stream (an update sink holds one row per stream and batch)."""
-    rest = [c for c in updates.columns if c not in ("stream_id", "last_seq")]
+    rest = [c for c in updates.columns if c != "stream_id"]
     best = updates.groupBy("stream_id").agg(
-        F.max_by(F.struct(*rest), F.struct("last_seq", F.col("status") != "streaming")).alias("t"), F.max("last_seq").alias("last_seq")
+        F.max_by(F.struct(*rest), F.struct("n_events", F.col("status") != "streaming")).alias("t")
     )
-    return best.select("stream_id", *[F.col("t")[c].alias(c) for c in rest], "last_seq")
+    return best.select("stream_id", *[F.col("t")[c].alias(c) for c in rest])

@@ -38,7 +38,7 @@ def parse_packets(packets: DataFrame) -> DataFrame:
 def split_bodies(bodies: DataFrame) -> DataFrame:
     """Complete stream bodies (stream_id, body) to packets; an unterminated tail is dropped.
 
-    For stored bodies, one row each. Live byte pieces are put together by the stateful fold.
+    For stored bodies, one row each.
     """
     pieces = F.split(F.replace("body", F.lit("\r"), F.lit("")), "\n\n")
     return (

@@ -1,5 +1,7 @@
 """Streams must give what the batch job gives, whatever the batches are."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,22 +31,37 @@ def test_batch_fold(spark):
     assert facts(fold.fold_batch(df).collect()) == WANT
 
 
-def test_stream_fold_with_replay(spark, tmp_path):
-    df = spark.createDataFrame(EVENTS, SCHEMA)
-    src = str(tmp_path / "in")
-    df.where("seq <= 2").coalesce(1).write.mode("append").parquet(src)
-    df.where("seq in (2, 3)").coalesce(1).write.mode("append").parquet(src)  # the second event comes twice
-    df.where("seq > 3").coalesce(1).write.mode("append").parquet(src)
+def run_stream(spark, tmp_path, parts, **options):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = str(tmp_path / "out")
+    live = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
     q = (
-        fold.fold_stream(live).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+        fold.fold_stream(live, **options).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
         .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    got = fold.close_open_turns(fold.latest_turns(spark.read.schema(fold.OUTPUT).parquet(out)))
-    assert facts(got.collect()) == WANT
+    return fold.latest_turns(spark.read.schema(fold.OUTPUT).parquet(out))
+
+
+def test_stream_fold_with_replay(spark, tmp_path):
+    parts = [[e for e in EVENTS if e[1] <= 2], [e for e in EVENTS if e[1] in (2, 3)], [e for e in EVENTS if e[1] > 3]]
+    assert facts(fold.close_open_turns(run_stream(spark, tmp_path, parts)).collect()) == WANT
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_fold_of_any_split(spark, tmp_path, seed):
+    """Events out of order, dealt at random, some twice, with a number that never comes."""
+    dice = random.Random(seed)
+    more = [(5, n, "token", f"{n} ", None, None, None) for n in range(1, 30) if n != 17]
+    parts = [[] for _ in range(4)]
+    for e in EVENTS + more:
+        for _ in range(dice.choice((1, 1, 2))):
+            dice.choice(parts).append(e)
+    got = facts(fold.close_open_turns(run_stream(spark, tmp_path, [p for p in parts if p])).collect())
+    assert got == WANT | {5: ("".join(e[3] for e in more), "", "done", "stop", "", "[]")}
+    assert got == facts(fold.fold_batch(spark.createDataFrame([e for p in parts for e in p], SCHEMA)).collect())
 
 
 def test_packets(spark):
