@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import ingest
+from docketry.operators import ingest, records
 from docketry.plans.registry import query
 from docketry.session import shared_dir
 from docketry.sources import fixtures as fx
@@ -59,3 +59,36 @@ def written_file_log(spark, sf_dir):
     logs.write_files(f.withColumn("name", F.when(F.col("scope") % 2 == 0, "old").otherwise(F.col("name"))), path, None)
     logs.write_files(f.where(F.col("scope") % 2 == 0), path, None)
     return logs.read_files(spark, path, None).select("scope", "id", "name", "size")
+
+
+@query(
+    "refreshed_snapshot",
+    "S1 S2 S3",
+    """SELECT CAST(scope AS VARCHAR) AS scope, id, pos FROM v_file_changes WHERE CASE WHEN scope % 4 <> 0 THEN added_at >= TIMESTAMP '1996-01-01' AND scope <> 7 ELSE added_at < TIMESTAMP '1996-01-01' END""",
+    ("v_file_changes",),
+)
+def refreshed_snapshot(spark, sf_dir):
+    """Every fourth scope failed to load and keeps its old snapshot; scope 7 loaded and is empty from then on."""
+    f = fx.file_changes(spark, sf_dir).select("scope", "id", "pos", "added_at")
+    late = F.col("added_at") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    path = shared_dir(spark, "snapshot")
+    logs.write_log(f.where(~late).drop("added_at"), path)
+    loaded = f.where(F.col("scope") % 4 != 0).select("scope").distinct()
+    logs.refresh_snapshot(f.where(late & (F.col("scope") != 7)).drop("added_at"), loaded, path)
+    return logs.read_log(spark, path, "id string, pos bigint, scope string").select("scope", "id", "pos")
+
+
+@query(
+    "cleared_scope_log",
+    "S1 S2 J6",
+    """SELECT CAST(scope AS VARCHAR) AS scope, id, trim(name) AS name, size FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY pos) AS rn FROM v_file_changes WHERE scope % 5 <> 0) WHERE rn <= 50""",
+    ("v_file_changes",),
+)
+def cleared_scope_log(spark, sf_dir):
+    """A log written again after every file of some scopes was deleted."""
+    f = fx.file_changes(spark, sf_dir).withColumn("added_at", F.col("added_at").cast("timestamp"))
+    path = shared_dir(spark, "cleared")
+    logs.write_files(f, path, None)
+    gone = f.where(F.col("scope") % 5 == 0).select("scope", "id").distinct()
+    logs.write_files(records.remove_keys(f, gone), path, None, scopes=f)
+    return logs.read_files(spark, path, None).select("scope", "id", "name", "size")

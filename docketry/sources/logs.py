@@ -1,6 +1,7 @@
 """Sources and sinks of the record tables.
 
-Tables are Parquet folders partitioned by ``scope``; a write replaces only the scopes it holds.
+Tables are Parquet folders partitioned by ``scope``; a write replaces only the scopes it holds, and those
+named to it: a scope that became empty is stored as one row without an id, which no reader gives.
 Schemas are given, never inferred, so a scan reads no more than the columns a query needs.
 """
 
@@ -32,15 +33,19 @@ def read_templates(spark: SparkSession, path: str, now, fmt: str = "parquet") ->
     return records.normalize_templates(read_log(spark, path, schemas.TEMPLATE, fmt), now)
 
 
-def write_log(df: DataFrame, path: str) -> None:
-    """Write a normalised and capped log. Only the scopes present in ``df`` are replaced.
+def write_log(df: DataFrame, path: str, scopes: DataFrame | None = None) -> None:
+    """Write a normalised and capped log. The scopes present in ``df`` are replaced.
 
+    ``scopes`` (scope) lists further ones that this write speaks for: without rows they become empty.
     Rows are sorted by scope inside every task, so a task has one open file at a time; a hot scope
     is written by many tasks, not gathered into one.
     """
+    rows = df.withColumn("scope", F.col("scope").cast("string"))
+    if scopes is not None:
+        named = scopes.select(F.col("scope").cast("string")).distinct()
+        rows = rows.unionByName(named.join(rows.select("scope"), "scope", "left_anti"), allowMissingColumns=True)
     (
-        df.withColumn("scope", F.col("scope").cast("string"))
-        .sortWithinPartitions("scope")
+        rows.sortWithinPartitions("scope")
         .write.partitionBy("scope")
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
@@ -48,19 +53,19 @@ def write_log(df: DataFrame, path: str) -> None:
     )
 
 
-def write_consultations(df: DataFrame, path: str, now) -> None:
+def write_consultations(df: DataFrame, path: str, now, scopes: DataFrame | None = None) -> None:
     clean = records.normalize_consultations(records.valid_ids(df, need_text=True), now)
-    write_log(records.latest(clean, records.KEEP_CONSULTATIONS, "updated_at", "id"), path)
+    write_log(records.latest(clean, records.KEEP_CONSULTATIONS, "updated_at", "id"), path, scopes)
 
 
-def write_templates(df: DataFrame, path: str, now, order: str = "pos") -> None:
+def write_templates(df: DataFrame, path: str, now, order: str = "pos", scopes: DataFrame | None = None) -> None:
     clean = records.last_wins(records.normalize_templates(df, now), ["scope", "id"], order)
-    write_log(records.latest(clean, records.KEEP_TEMPLATES, "updated_at", order), path)
+    write_log(records.latest(clean, records.KEEP_TEMPLATES, "updated_at", order), path, scopes)
 
 
-def write_files(df: DataFrame, path: str, now, order: str = "pos") -> None:
+def write_files(df: DataFrame, path: str, now, order: str = "pos", scopes: DataFrame | None = None) -> None:
     """Files keep the given order: the first fifty of a scope stay."""
-    write_log(records.retain(records.normalize_files(df, now), records.KEEP_FILES, F.col(order)), path)
+    write_log(records.retain(records.normalize_files(df, now), records.KEEP_FILES, F.col(order)), path, scopes)
 
 
 def with_fallback(primary: DataFrame, snapshot: DataFrame, loaded: DataFrame) -> DataFrame:
@@ -75,8 +80,8 @@ def with_fallback(primary: DataFrame, snapshot: DataFrame, loaded: DataFrame) ->
 
 
 def refresh_snapshot(primary: DataFrame, loaded: DataFrame, path: str) -> None:
-    """S3: a successful read refreshes the snapshot of its scopes."""
-    write_log(primary.join(loaded.select("scope").distinct(), "scope", "left_semi"), path)
+    """S3: a successful read refreshes the snapshot of its scopes, an empty one too."""
+    write_log(primary.join(loaded.select("scope").distinct(), "scope", "left_semi"), path, loaded)
 
 
 def read_documents(spark: SparkSession, path: str, **filters: str | None) -> DataFrame:
