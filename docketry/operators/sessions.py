@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.jsontext import kind, member, members, scalar_text, strict_json
 from docketry.functions.text import filled, let, or_default, rstrip, squeeze, strip, text, truncate_title
-from docketry.operators.blocks import lookback
+from docketry.operators.blocks import lookback, ordered_concat
 
 # Fixed values.
 AUTO_PROMPT = (
@@ -17,7 +17,6 @@ AUTO_PROMPT = (
 DRAFT_PHRASE = "generer un modele d'acte juridique"
 HISTORY_TURNS = 6
 PAPERCLIP = "\U0001f4ce"
-SEGMENT_TURNS = 1000
 CONFIDENCE = (("high", 98), ("medium", 86), ("low", 72))
 CONFIDENCE_NONE = 60
 
@@ -227,16 +226,15 @@ def stored_status(c: Column) -> Column:
     return F.when(c.isin("error", "streaming"), c).otherwise("done")
 
 
-def session_payloads(turns: DataFrame, titles: DataFrame, segment: int = SEGMENT_TURNS) -> DataFrame:
-    """The stored JSON of a session.
+def session_payloads(turns: DataFrame, titles: DataFrame) -> DataFrame:
+    """The stored JSON of a session, exactly one document each.
 
-    One document per session and segment of ``segment`` positions, so a very long session is
-    several documents of bounded size; a usual one is exactly one.
+    Turns become JSON where they are and are joined block by block; only the finished document,
+    which is one value of the result, is ever whole in a task.
     """
     blank = F.lit("")
     empty = F.array().cast("array<string>")
     turn = F.struct(
-        F.col("pos"),
         F.coalesce(_optional(turns, "id").cast("string"), F.concat(F.lit("turn-"), F.col("pos").cast("string"))).alias("id"),
         F.coalesce("question", blank).alias("question"),
         F.nullif(_optional(turns, "display_question"), blank).alias("displayQuestion"),
@@ -248,19 +246,10 @@ def session_payloads(turns: DataFrame, titles: DataFrame, segment: int = SEGMENT
         F.coalesce("finish_reason", blank).alias("finishReason"),
     )
     keys = ["scope", "session_id"]
-    listed = (
-        turns.withColumn("segment", F.floor(F.col("pos") / segment).cast("bigint"))
-        .groupBy(*keys, "segment")
-        .agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
-    )
-    body = F.to_json(
-        F.struct(
-            F.lit(1).alias("version"),
-            truncate_title("title").alias("title"),
-            F.transform("_turns", lambda t: t.dropFields("pos")).alias("turns"),
-        )
-    )
-    return listed.join(titles.select(*keys, "title"), keys).select(*keys, "segment", "title", body.alias("payload"))
+    listed = ordered_concat(turns.select(*keys, "pos", F.to_json(turn).alias("_turn")), keys, "pos", "_turn", "_turns", ",")
+    head = F.to_json(F.struct(F.lit(1).alias("version"), truncate_title("title").alias("title")))
+    body = F.concat(F.left("_head", F.length("_head") - 1), F.lit(',"turns":['), "_turns", F.lit("]}"))
+    return listed.join(titles.select(*keys, "title", head.alias("_head")), keys).select(*keys, "title", body.alias("payload"))
 
 
 def restorable(v: Column) -> Column:
@@ -280,19 +269,19 @@ def restorable(v: Column) -> Column:
     )
 
 
-def restore_turns(records: DataFrame, segment: int = SEGMENT_TURNS) -> DataFrame:
+def restore_turns(records: DataFrame) -> DataFrame:
     """Turn rows from stored records; text that is no session becomes one turn.
 
-    Input: scope, session_id, segment, question, answer, status, rag_note, finish_reason.
+    Input: scope, session_id, question, answer, status, rag_note, finish_reason.
     """
     stored = text("answer")
     parsed = records.withColumn("_v", F.when(stored.startswith("{"), strict_json(stored))).withColumn("_rows", restorable(F.col("_v")))
     keys = ["scope", "session_id"]
-    exploded = parsed.where(F.size("_rows") > 0).select(*keys, "segment", F.inline("_rows"))
+    exploded = parsed.where(F.size("_rows") > 0).select(*keys, F.inline("_rows"))
     t = F.col("t")
     restored = exploded.select(
         *keys,
-        (F.col("segment") * segment + F.col("index")).alias("pos"),
+        F.col("index").cast("bigint").alias("pos"),
         or_default(scalar_text(t, "$.id"), F.concat(F.lit("turn-restored-"), (F.col("index") + 1).cast("string"))).alias("id"),
         strip(scalar_text(t, "$.question")).alias("question"),
         filled(scalar_text(t, "$.displayQuestion")).alias("display_question"),
@@ -305,7 +294,7 @@ def restore_turns(records: DataFrame, segment: int = SEGMENT_TURNS) -> DataFrame
     )
     plain = parsed.where((F.size("_rows") == 0) & ((text("question") != "") | (stored != ""))).select(
         *keys,
-        (F.col("segment") * segment).alias("pos"),
+        F.lit(0).cast("bigint").alias("pos"),
         F.concat(F.lit("turn-restored-"), F.col("session_id").cast("string")).alias("id"),
         or_default("question", "Question").alias("question"),
         or_default("question", "Question").alias("display_question"),

@@ -233,7 +233,6 @@ def session_payload_restore(spark, sf_dir):
     rows = stored.select(
         "scope",
         "session_id",
-        "segment",
         F.col("title").alias("question"),
         F.col("payload").alias("answer"),
         F.lit("done").alias("status"),
@@ -254,8 +253,7 @@ FROM v_turns WHERE trim(question, {W}) <> '' OR trim(answer, {W}) <> ''""",
     ("v_turns",),
 )
 def restored_plain_answers(spark, sf_dir):
-    rows = fx.turns(spark, sf_dir).withColumn("segment", F.lit(0).cast("bigint"))
-    return sessions.restore_turns(rows).select("session_id", "question", "answer", "status")
+    return sessions.restore_turns(fx.turns(spark, sf_dir)).select("session_id", "question", "answer", "status")
 
 
 @query(

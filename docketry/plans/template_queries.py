@@ -210,7 +210,7 @@ def builtin_templates(spark, sf_dir):
 CATALOG = f"""{TEMPLATES},
 st AS (SELECT scope, id, first_pos AS pos, name, category, domain, complexity, description, p_brand AS refs FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY updated_s DESC, first_pos) AS r FROM lt) WHERE r <= 200),
 bi AS (SELECT 't' || k AS id, k AS pos, 'Modele ' || p_type AS name, p_type AS category, 'Commun' AS domain, 'Avance' AS complexity, 'Modele ' || p_type AS description, 'COCC' AS refs FROM (SELECT p_type, min(p_partkey) AS k FROM part GROUP BY p_type)),
-al AS (SELECT scope, id, pos + 1048576 AS pos, name, category, domain, complexity, description, refs, true AS is_custom FROM st
+al AS (SELECT scope, id, pos + (SELECT max(k) + 1 FROM (SELECT min(p_partkey) AS k FROM part GROUP BY p_type)) AS pos, name, category, domain, complexity, description, refs, true AS is_custom FROM st
   UNION ALL SELECT s.scope, bi.*, false FROM bi, (SELECT DISTINCT scope FROM st) s),
 tc AS (SELECT scope, id, min(pos) AS pos, arg_max(name, pos) AS name, arg_max(category, pos) AS category, arg_max(domain, pos) AS domain, arg_max(complexity, pos) AS complexity, arg_max(description, pos) AS description, arg_max(refs, pos) AS refs, arg_max(is_custom, pos) AS is_custom FROM al GROUP BY scope, id)"""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import jsontext, paths, text
 from docketry.operators import attribution, catalog, dashboard, drafts, ingest, linkage, records, search, sessions, templates
+from docketry.sources import logs
 
 
 def apply(spark, values, fn, type_="string"):
@@ -124,16 +125,33 @@ def test_consultation_titles(spark):
 
 
 def test_restore_is_inverse_of_payload(spark):
-    rows = [("s", 1, p, f"q{p}", None if p == 1 else f" a{p} ", "done", "n", "stop") for p in range(5)]
+    places = [0, 1, 2, 1000, *range(1002, 2200)]
+    rows = [("s", 1, p, f"q{p}", None if p == 1 else f" a{p} ", "done", "n", "stop") for p in places]
     t = spark.createDataFrame(
         rows, "scope string, session_id int, pos bigint, question string, answer string, status string, rag_note string, finish_reason string"
     )
     titles = sessions.roll_up(t.withColumn("ts_s", F.lit(1)))
-    for segment in (1000, 2):
-        p = sessions.session_payloads(t, titles, segment)
-        records_ = p.select("scope", "session_id", "segment", "title", F.col("title").alias("question"), F.col("payload").alias("answer"), F.lit("done").alias("status"), F.lit("").alias("rag_note"), F.lit("").alias("finish_reason"))
-        back = sessions.restore_turns(records_, segment).orderBy("pos").collect()
-        assert [(r.pos, r.question, r.answer) for r in back] == [(p, f"q{p}", "" if p == 1 else f" a{p} ") for p in range(5)]
+    p = sessions.session_payloads(t, titles)
+    records_ = p.select("scope", "session_id", "title", F.col("title").alias("question"), F.col("payload").alias("answer"), F.lit("done").alias("status"), F.lit("").alias("rag_note"), F.lit("").alias("finish_reason"))
+    back = sessions.restore_turns(records_).orderBy("pos").collect()
+    assert [(r.pos, r.question, r.answer) for r in back] == [(i, f"q{p}", "" if p == 1 else f" a{p} ") for i, p in enumerate(places)]
+    assert len({r.id for r in back}) == len(places) and p.count() == 1
+
+
+def test_custom_template_wins_wherever_the_builtin_stands(spark):
+    names = "id string, pos bigint, name string, is_custom boolean"
+    builtin = spark.createDataFrame([("t1", 2_000_000, "built", False), ("t2", 5, "kept", False)], names)
+    custom = spark.createDataFrame([("s", "t1", 3, "own", True)], "scope string, " + names)
+    got = templates.union_templates(builtin, custom).orderBy("pos").collect()
+    assert [(r.id, r.name, r.is_custom) for r in got] == [("t2", "kept", False), ("t1", "own", True)]
+
+
+def test_scope_written_empty_stays_empty(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = spark.createDataFrame([("a", "1"), ("b", "2")], "scope string, id string")
+    logs.write_log(df, path)
+    logs.write_log(df.where("scope = 'b'").withColumn("id", F.lit("3")), path, scopes=df)
+    assert [tuple(r) for r in logs.read_log(spark, path, "id string, scope string").select("scope", "id").collect()] == [("b", "3")]
 
 
 def brute_link(card, docs):
