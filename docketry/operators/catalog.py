@@ -114,13 +114,17 @@ def keep_selection(selection: DataFrame, available: DataFrame, key: str = "scope
     return both.select(key, F.when(F.size(valid) == 0, F.col("_all")).otherwise(valid).alias("categories"))
 
 
-def page_rows(rows: DataFrame, requests: DataFrame, size: int = PAGE_LIST, block: int = RANK_BLOCK) -> DataFrame:
+def page_rows(
+    rows: DataFrame, requests: DataFrame, size: int = PAGE_LIST, block: int = RANK_BLOCK, first: tuple[str, ...] = ()
+) -> DataFrame:
     """The rows of the requested page; the page number is clamped to the last page.
 
-    ``rows``: request_id, pos, ...; ``requests``: request_id, page. Rows are counted per request
-    and block of positions; only the blocks that touch the page are numbered.
+    ``rows``: request_id, pos, ...; ``requests``: request_id, page. ``first`` names number columns that
+    rank before the position, largest first, NULL as 0. Rows are counted per request, values of
+    ``first`` and block of positions; only the blocks that touch the page are numbered.
     """
-    blocked = rows.withColumn("_blk", F.floor(F.col("pos") / block).cast("bigint"))
+    before_pos = [(-F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"_{c}") for c in first]
+    blocked = rows.withColumn("_blk", F.struct(*before_pos, F.floor(F.col("pos") / block).cast("bigint").alias("_span")))
     counts = blocked.groupBy("request_id", "_blk").agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.groupBy("request_id").agg(F.sum("_n").alias("total"))
     pages = F.greatest(F.ceil(F.col("total") / size), F.lit(1))

@@ -101,10 +101,11 @@ def new_files(chosen: DataFrame, pending: DataFrame) -> DataFrame:
 
 
 def submitted_ids(attached: DataFrame) -> DataFrame:
-    """Distinct ids of the attached files per request, earlier uploads first.
+    """The distinct ids of the attached files of every request, one row each.
 
-    ``attached``: request_id, pos, pre_id, new_id. A request with attachments but without any id is
-    rejected.
+    ``attached``: request_id, pos, pre_id, new_id. The order of a request's ids is (turn, at): earlier
+    uploads (turn 0) first, then by position. A request with attachments but without any id is rejected;
+    it has one row whose id is NULL.
     """
     both = attached.select(
         "request_id",
@@ -118,11 +119,14 @@ def submitted_ids(attached: DataFrame) -> DataFrame:
     ids = both.where(F.col("file_id") != "").groupBy("request_id", "file_id").agg(F.min(F.struct("turn", "at")).alias("_first"))
     counted = attached.groupBy("request_id").agg(F.count(F.lit(1)).alias("attachments"))
     per = ids.groupBy("request_id").agg(F.count(F.lit(1)).alias("ids"))
-    return counted.join(per, "request_id", "left").select(
+    return counted.join(per, "request_id", "left").join(ids, "request_id", "left").select(
         "request_id",
         "attachments",
         F.coalesce("ids", F.lit(0).cast("bigint")).alias("ids"),
         F.coalesce(F.col("ids") == 0, F.lit(True)).alias("rejected"),
+        "file_id",
+        F.col("_first")["turn"].alias("turn"),
+        F.col("_first")["at"].alias("at"),
     )
 
 

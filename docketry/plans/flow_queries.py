@@ -4,39 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import sessions
+from docketry.operators import catalog, search, sessions
 from docketry.plans import flows
-from docketry.plans.catalog_queries import SEARCH
+from docketry.plans.catalog_queries import SEARCH, search_requests
 from docketry.plans.registry import query
-from docketry.plans.session_queries import ROLLUP, turns_with_counts
+from docketry.plans.session_queries import FINAL, ROLLUP, W, turns_with_counts
 from docketry.sources import fixtures as fx
 from docketry.streaming import sink
 
 
-@query(
-    "session_log",
-    "F2 A5 W6 W9 W1 W3 ST5",
-    f"""WITH r AS ({ROLLUP}), m AS (SELECT scope, session_id AS id, title, turn_count, CASE WHEN session_id % 2 = 0 THEN created_s - 500 ELSE created_s END AS created_s,
-  CASE WHEN session_id % 4 = 0 THEN updated_s - 500 ELSE updated_s END AS updated_s FROM r)
-SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY updated_s DESC, id) AS rn FROM m) WHERE rn <= 50""",
-    ("v_turns", "v_turn_sources"),
-)
-def session_log(spark, sf_dir):
+LOGGED = f"""r AS ({ROLLUP}), m AS (SELECT scope, session_id AS id, title, turn_count, CASE WHEN session_id % 2 = 0 THEN created_s - 500 ELSE created_s END AS created_s,
+  CASE WHEN session_id % 4 = 0 THEN updated_s - 500 ELSE updated_s END AS updated_s FROM r),
+kept AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY updated_s DESC, id) AS rn FROM m) WHERE rn <= 50)"""
+
+
+def logged(spark, sf_dir):
     """Half of the sessions are stored already: a quarter unchanged, a quarter with an old title."""
     turns = turns_with_counts(spark, sf_dir)
     old = flows.session_records(turns).where(F.col("id") % 2 == 0)
     stale = F.when(F.col("id") % 4 == 2, "ancien titre").otherwise(F.col("title"))
     stored = old.withColumns({"title": stale, "created_s": F.col("created_s") - 500, "updated_s": F.col("updated_s") - 500})
     stored = stored.withColumn("fingerprint", sessions.fingerprint(*sink.COMPARED))
-    return flows.session_log(turns, stored).select("scope", "id", "title", "turn_count", "created_s", "updated_s")
+    return flows.session_log(turns, stored)
+
+
+@query("session_log", "F2 A5 W6 W9 W1 W3 ST5", f"WITH {LOGGED} SELECT * FROM kept", ("v_turns", "v_turn_sources"))
+def session_log(spark, sf_dir):
+    return logged(spark, sf_dir).select("scope", "id", "title", "turn_count", "created_s", "updated_s")
+
+
+@query(
+    "session_log_turns",
+    "A5 S10 W1 W3 X13",
+    f"""WITH {LOGGED} SELECT v.scope, v.session_id, CAST(row_number() OVER (PARTITION BY v.session_id ORDER BY v.pos) - 1 AS BIGINT) AS pos,
+  trim(v.question, {W}) AS question, v.answer, v.status FROM v_turns v JOIN kept ON kept.id = v.session_id WHERE {FINAL}""",
+    ("v_turns", "v_turn_sources"),
+)
+def session_log_turns(spark, sf_dir):
+    """The turns that the sessions kept in the log give back."""
+    stored = logged(spark, sf_dir).withColumnRenamed("id", "session_id")
+    return sessions.restore_turns(stored).select("scope", "session_id", "pos", "question", "answer", "status")
 
 
 @query(
     "search_page",
     "P15 J3 F8 A8 P10 W8",
     f"""WITH {SEARCH.replace("CASE WHEN request_id % 5 = 2 THEN '11 — Droit du travail' ELSE '' END AS category", "CASE WHEN request_id % 5 = 2 THEN '11 — Droit du travail' ELSE '' END AS category, request_id % 3 + 1 AS asked")},
-f AS (SELECT DISTINCT mm.request_id, mm.doc_id, k.pos, k.category, rq.asked FROM mm JOIN v_catalog k ON k.doc_id = mm.doc_id JOIN rq ON rq.request_id = mm.request_id WHERE rq.category = '' OR rq.category = k.category),
-n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pos) AS rank, count(*) OVER (PARTITION BY request_id) AS total FROM f)
+f AS (SELECT mm.request_id, mm.doc_id, k.pos, k.category, rq.asked, max(mm.score) AS best, count(*) AS chunks FROM mm JOIN v_catalog k ON k.doc_id = mm.doc_id JOIN rq ON rq.request_id = mm.request_id WHERE rq.category = '' OR rq.category = k.category GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY best DESC, chunks DESC, pos) AS rank, count(*) OVER (PARTITION BY request_id) AS total FROM f)
 SELECT request_id, doc_id, rank, total, CASE WHEN contains(category, 'travail') THEN 'travail' WHEN contains(category, 'OHADA') THEN 'ohada' ELSE 'document' END AS theme
 FROM n WHERE rank > (least(asked, greatest(1, CAST(ceil(total / 8.0) AS BIGINT))) - 1) * 8 AND rank <= least(asked, greatest(1, CAST(ceil(total / 8.0) AS BIGINT))) * 8""",
     ("v_chunks", "v_search_requests", "v_catalog"),
@@ -52,6 +67,22 @@ def search_page(spark, sf_dir):
     return flows.library_search(r, fx.chunks(spark, sf_dir), fx.catalog(spark, sf_dir)).select("request_id", "doc_id", "rank", "total", "theme")
 
 
+@query(
+    "linked_search",
+    "X22 P15 F8 A8",
+    f"""WITH {SEARCH} SELECT mm.request_id, mm.doc_id, CAST(max(mm.score) AS DOUBLE) AS search_score, count(*) AS matched_chunk_count
+FROM mm JOIN v_catalog k ON k.doc_id = mm.doc_id JOIN rq ON rq.request_id = mm.request_id WHERE rq.category = '' OR rq.category = k.category GROUP BY ALL""",
+    ("v_chunks", "v_search_requests", "v_catalog"),
+)
+def linked_search(spark, sf_dir):
+    """From library links to results: what a link leaves out is no filter."""
+    names = ("q", "keyword", "article", "category")
+    link = F.concat(F.lit("https://library.example/bibliotheque"), catalog.build_query({n: F.col(n) for n in names}))
+    links = search_requests(spark, sf_dir).select("request_id", link.alias("url"))
+    found = search.search_documents(catalog.parse_search_urls(links), fx.chunks(spark, sf_dir), fx.catalog(spark, sf_dir))
+    return found.select("request_id", "doc_id", "search_score", "matched_chunk_count")
+
+
 @query(
     "draft_review",
     "X11 X12 J8 J9 X8",

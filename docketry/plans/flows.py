@@ -30,8 +30,11 @@ def answer_sources(turns: DataFrame, sources: DataFrame, documents: DataFrame, b
 
 
 def session_records(turns: DataFrame) -> DataFrame:
-    """Session roll-ups in the shape of the stored log."""
-    rows = sessions.roll_up(turns).withColumnRenamed("session_id", "id")
+    """Session roll-ups in the shape of the stored log: ``question`` is the title, ``answer`` the whole session as JSON."""
+    rows = sessions.roll_up(turns)
+    payloads = sessions.session_payloads(sessions.finalized(turns), rows)
+    stored = payloads.select("scope", "session_id", F.col("title").alias("question"), F.col("payload").alias("answer"))
+    rows = rows.join(stored, ["scope", "session_id"]).withColumnRenamed("session_id", "id")
     return rows.withColumn("fingerprint", sessions.fingerprint(*sink.COMPARED))
 
 
@@ -48,7 +51,9 @@ def user_dashboard(consultations: DataFrame, files: DataFrame, documents: DataFr
 
 
 def library_search(requests: DataFrame, chunks: DataFrame, documents: DataFrame, size: int = catalog.PAGE_LIST, index: DataFrame | None = None) -> DataFrame:
-    """Search results of one page per request; loose category names are resolved first.
+    """Search results of one page per request, best first; loose category names are resolved first.
+
+    Order: score, number of matched chunks, document position.
 
     ``requests``: request_id, page and any of the search filters. The cleaned requests and the
     matches are used several times each, so both are staged once.
@@ -62,7 +67,7 @@ def library_search(requests: DataFrame, chunks: DataFrame, documents: DataFrame,
     found = search.search_documents(requests, chunks, documents, index)
     placed = found.withColumn("theme", catalog.theme("category")).withColumnRenamed("doc_pos", "pos")
     placed = staged(placed, "matches")
-    return catalog.page_rows(placed, requests.select("request_id", "page"), size)
+    return catalog.page_rows(placed, requests.select("request_id", "page"), size, first=("search_score", "matched_chunk_count"))
 
 
 def template_ingest(outputs: DataFrame) -> DataFrame:

@@ -521,9 +521,10 @@ def upload_summary(spark, sf_dir):
 @query(
     "submitted_file_ids",
     "U3",
-    """WITH i AS (SELECT DISTINCT batch_id, x FROM (SELECT batch_id, CASE WHEN pos % 2 = 0 THEN trim(uploaded_id) END AS x FROM v_upload_rows UNION ALL SELECT batch_id, CASE WHEN NOT failed AND pos % 3 <> 0 THEN trim(uploaded_id) END FROM v_upload_rows) WHERE x <> '')
-SELECT a.batch_id AS request_id, a.n AS attachments, coalesce(c.n, 0) AS ids, coalesce(c.n, 0) = 0 AS rejected FROM (SELECT batch_id, count(*) AS n FROM v_upload_rows GROUP BY ALL) a
-LEFT JOIN (SELECT batch_id, count(*) AS n FROM i GROUP BY ALL) c ON c.batch_id = a.batch_id""",
+    """WITH u AS (SELECT batch_id, 0 AS turn, pos, CASE WHEN pos % 2 = 0 THEN trim(uploaded_id) END AS x FROM v_upload_rows UNION ALL SELECT batch_id, 1, pos, CASE WHEN NOT failed AND pos % 3 <> 0 THEN trim(uploaded_id) END FROM v_upload_rows),
+i AS (SELECT batch_id, x, turn, pos FROM u WHERE x <> '' QUALIFY row_number() OVER (PARTITION BY batch_id, x ORDER BY turn, pos) = 1)
+SELECT a.batch_id AS request_id, a.n AS attachments, coalesce(c.n, 0) AS ids, coalesce(c.n, 0) = 0 AS rejected, i.x AS file_id, i.turn, i.pos AS at FROM (SELECT batch_id, count(*) AS n FROM v_upload_rows GROUP BY ALL) a
+LEFT JOIN (SELECT batch_id, count(*) AS n FROM i GROUP BY ALL) c ON c.batch_id = a.batch_id LEFT JOIN i ON i.batch_id = a.batch_id""",
     ("v_upload_rows",),
 )
 def submitted_file_ids(spark, sf_dir):
