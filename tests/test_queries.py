@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 DEFAULT = """session_rollup dashboard_by_scope history_window used_sources citation_links document_search resolved_labels
  catalog_pages upserted_and_capped reconciled_uploads upload_summary folded_turns debounced_notes ready_templates blocking_items
- document_blocks validation_prompts search_links""".split()
+ document_blocks validation_prompts search_links submitted_file_ids session_log_turns linked_search""".split()
 NAMES = sorted(CHECKS) if os.environ.get("DOCKETRY_ALL") else DEFAULT
 
 

@@ -314,3 +314,25 @@ def test_search_rules(spark):
 def test_volumes(spark, value, report, listed):
     df = spark.createDataFrame([(value,)], "b bigint")
     assert tuple(df.select(dashboard.volume("b"), dashboard.file_size("b")).first()) == (report, listed)
+
+
+def test_pages_come_best_first(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, 1.0, 5), (1, 1, 2.0, 1), (1, 2, 2.0, 3), (1, 9000, 2.0, 3), (1, 3, 1.0, 5), (2, 7, None, None), (2, 4, None, None)],
+        "request_id long, pos long, search_score double, matched_chunk_count long",
+    )
+    asked = spark.createDataFrame([(1, 2), (2, 5)], "request_id long, page long")
+    got = catalog.page_rows(rows, asked, size=2, block=4, first=("search_score", "matched_chunk_count"))
+    assert sorted((r.request_id, r["rank"], r.pos, r.page, r.total) for r in got.collect()) == [
+        (1, 3, 1, 2, 5), (1, 4, 0, 2, 5), (2, 1, 4, 1, 2), (2, 2, 7, 1, 2),
+    ]
+
+
+def test_submitted_ids_keep_their_order(spark):
+    attached = spark.createDataFrame(
+        [(1, 0, None, "b"), (1, 1, " a ", "c"), (1, 2, "b", None), (2, 0, " ", None)], "request_id long, pos long, pre_id string, new_id string"
+    )
+    rows = ingest.submitted_ids(attached).orderBy("request_id", "turn", "at").collect()
+    assert [(r.request_id, r.attachments, r.ids, r.rejected, r.file_id) for r in rows] == [
+        (1, 3, 3, False, "a"), (1, 3, 3, False, "b"), (1, 3, 3, False, "c"), (2, 1, 0, True, None),
+    ]
