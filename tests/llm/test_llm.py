@@ -227,6 +227,41 @@ def test_passages(spark, empty):
     assert passages.classes(empty).count() == 0
 
 
+def near(x, y):
+    return 5 * len(set(x) & set(y)) >= 4 * len(set(x) | set(y))
+
+
+def test_passages_against_all_windows():
+    """Short token rows with edits at random places: a link is found if any two windows of at least 8 tokens are near."""
+    rng = np.random.default_rng(3)
+    links = 0
+    for k in range(250):
+        core = rng.integers(0, 1000 if k % 3 else 12, rng.integers(8, 15)).tolist()
+        copy = list(core)
+        for _ in range(rng.integers(0, 4)):
+            at = int(rng.integers(0, len(copy)))
+            copy[at : at + int(rng.integers(0, 2))] = rng.integers(2000, 3000, rng.integers(0, 2)).tolist()
+        ends = [rng.integers(4000 + 1000 * i, 5000 + 1000 * i, rng.integers(0, 5)).tolist() for i in range(4)]
+        a, b = ends[0] + core + ends[1], ends[2] + copy + ends[3]
+        got = passages.passages(np.array(a, np.uint64), np.array(b, np.uint64), 8, 80)
+        every = [(p, q, s, t) for p in range(len(a)) for q in range(p + 7, len(a)) for s in range(len(b)) for t in range(s + 7, len(b)) if near(a[p : q + 1], b[s : t + 1])]
+        assert bool(got) == bool(every)
+        links += bool(every)
+        for side, other, (i, j) in ((a, b, (0, 1)), (b, a, (2, 3))):
+            inside = {x for w in every for x in range(w[i], w[j] + 1) if side[x] in other}
+            assert inside <= {x for g in got for x in range(g[i], g[j] + 1)}
+    assert 60 < links < 230
+
+
+@pytest.mark.parametrize("n, changed", [(50, [1]), (50, [3]), (50, [48]), (52, [2, 51]), (60, [21, 51]), (60, [10, 31])])
+def test_passages_edited_near_the_ends(n, changed):
+    words = [f"w{i}" for i in range(1, n + 1)]
+    edited = [f"other{i}" if i in changed else w for i, w in enumerate(words, 1)]
+    parts = [" ".join([f"{x}{i}" for i in range(80)] + middle + [f"{x}x{i}" for i in range(80)]).encode() for x, middle in (("a", words), ("b", edited))]
+    a, b = (passages.tokens(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 5)[0] for t in parts)
+    assert passages.passages(a, b, 46, 80)
+
+
 def test_quality(spark, docs, empty):
     good = [(i, f"plain text number {i} with the usual words of the house", 1) for i in range(60)]
     bad = [(100 + i, f"$$$ !!{i}!! ### buy buy buy @@@", 0) for i in range(30)]
