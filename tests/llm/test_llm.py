@@ -262,6 +262,29 @@ def test_passages_edited_near_the_ends(n, changed):
     assert passages.passages(a, b, 46, 80)
 
 
+def test_passages_past_the_pivots(spark):
+    """Texts that share a passage are linked though texts with smaller fingerprints quote parts of it."""
+    core = [f"c{i}" for i in range(60)]
+
+    def text(name, middle):
+        return " ".join([f"{name}a{i}" for i in range(60)] + middle + [f"{name}b{i}" for i in range(60)])
+
+    def prints(ts):
+        data = "".join(ts).encode()
+        offs = np.cumsum([0] + [len(t) for t in ts])
+        return passages.tokens(np.frombuffer(data, np.uint8), offs, 5)[2].view(np.int64)
+
+    full = [text(f"f{k}", core) for k in range(40)]
+    parts = [text(f"p{k}", core[at : at + 15]) for k, at in enumerate(list(range(0, 46, 3)) * 40)]
+    order = sorted(zip(prints(full).tolist(), full, strict=True))
+    pair = [t for _, t in order[-2:]]  # the two with the largest fingerprints
+    below = [t for v, t in zip(prints(parts).tolist(), parts, strict=True) if v < order[-2][0]]
+    df = spark.createDataFrame(list(enumerate(pair + below)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in passages.classes(df).collect()}
+    assert got[1]["component_id"] == 0 and got[0]["spans"][0]["first"] == 60 and got[0]["spans"][0]["last"] == 119
+    assert all(got[i]["component_id"] == i for i in range(2, len(got)))
+
+
 def test_quality(spark, docs, empty):
     good = [(i, f"plain text number {i} with the usual words of the house", 1) for i in range(60)]
     bad = [(100 + i, f"$$$ !!{i}!! ### buy buy buy @@@", 0) for i in range(30)]
