@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, passages, quality, sharding, suffix_dedup, toxicity, unigram
+from docketry.llm import best_fit, divergence, embedding_dedup, exact_dedup, minhash_dedup, packing, passages, quality, sharding, suffix_dedup, toxicity, unigram
 from docketry.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,39 @@ def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 2-word shingles reach a similarity of 0.8."""
     return minhash_dedup.classes(table(spark, sf_dir, "documents"), width=2, percent=80).drop("node")
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens by best fit over their lengths."""
+    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, length=1024)
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and the terms that mark them."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as n from w group by all having count(distinct r) >= 3),
+counts as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by all),
+langs as (select lang, count(*) as v, sum(n)::bigint as total from kept group by all),
+groups as (select g.lang, g.source, coalesce(t.total, 0)::bigint as total from (select distinct lang, source from d) g
+  left join (select lang, source, sum(n)::bigint as total from counts group by all) t using (lang, source)),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (g.total + l.v) as p,
+    1 + (1000000000::hugeint * (k.n + 1)) // (l.total + l.v) as q
+  from groups g join kept k using (lang) join langs l using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p where n > 0 and p > q)
+select lang, source, part, item, value, rank from
+  (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found)
+where part = 'pair' or rank <= 200
+"""
