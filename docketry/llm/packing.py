@@ -1,7 +1,8 @@
 """Packing along a space-filling curve.
 
 1. A document's vector is the mean of hashed random projections of its words, in ``DIMS`` dimensions.
-2. Its place on a Hilbert curve through the quantised vectors is a 64-bit key; the rows are range-sorted by it.
+2. Its place on a Hilbert curve through the quantised vectors is a 64-bit key; the rows are range-sorted by it. The
+   borders of the ranges come from a sample that draws texts by their bytes, so ranges hold equal bytes, not equal rows.
 3. Every range is tokenised and cut into sequences of ``length`` tokens as it streams by, so neighbours on the curve
    share sequences and the only padding is in the last sequence of a range.
 
@@ -10,7 +11,6 @@ Texts cross the network once, before they are tokenised; nothing but the open se
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,13 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm import bpe
 from docketry.llm.common import TO_LOWER, U64, blocks, mix, signed, word_bounds, word_hashes
 
 DIMS, BITS = 4, 10
-#: Text bytes of a range, about; a range leaves at most one sequence unfilled.
-RANGE_BYTES = 32 << 20
-#: Entries a worker's table of tokenised words may hold; a full table is started anew.
-CACHE = 500_000
+#: Text bytes of a range, about; a range leaves at most one sequence unfilled. Beyond MAX_RANGES ranges they grow.
+RANGE_BYTES, MAX_RANGES = 32 << 20, 1 << 16
+#: Rows drawn for the borders: about SAMPLES for each range, MAX_SAMPLES in all (24 bytes each, on the driver).
+SAMPLES, MAX_SAMPLES = 256, 1 << 22
 
 
 def vectors(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -73,79 +74,78 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def places(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Place of each row on the curve."""
     side = 1 << BITS
-    for batch in batches:
-        for i, j, buf, offs in blocks(batch.column(1)):
-            v = vectors(TO_LOWER[buf], offs)
-            cells = np.clip((np.tanh(v / 4) + 1) / 2 * side, 0, side - 1).astype(np.uint64)
-            curve = pa.array(signed(hilbert(cells, BITS)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), curve], ["doc_id", "text", "curve"])
+    cells = np.clip((np.tanh(vectors(TO_LOWER[buf], offs) / 4) + 1) / 2 * side, 0, side - 1).astype(np.uint64)
+    return signed(hilbert(cells, BITS))
 
 
-class WordTokens:
-    """Token ids of whole texts from a table of already tokenised words.
+def _weigh(share: float):
+    """A sample of the places: a row is taken with a probability of ``share`` for each byte, and stands for its bytes."""
 
-    Right for tokenizers that cut at white space before they merge and keep no trace of it: the ids of a text are the
-    ids of its words in turn. Inside a plain ASCII word without an apostrophe, letters and other characters are cut
-    apart too, where such a tokenizer cuts anyway.
-    """
-
-    PLAIN = re.compile(rb"[a-z]+|[^a-z]+")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tie = batch.column("tie").to_numpy()
+            for i, j, buf, offs in blocks(batch.column("text")):
+                size = np.diff(offs) + 1
+                chance = np.minimum(1.0, size * share)
+                drawn = np.flatnonzero((mix(tie[i:j].view(U64)) >> U64(11)) * 2.0**-53 < chance)
+                if len(drawn):
+                    ends = np.concatenate([[0], np.cumsum(size[drawn] - 1)])
+                    some = np.concatenate([buf[offs[k] : offs[k + 1]] for k in drawn])
+                    yield pa.RecordBatch.from_arrays([pa.array(places(some, ends)), pa.array(tie[i:j][drawn]), pa.array(size[drawn] / chance[drawn])], ["curve", "tie", "bytes"])
 
-    def __init__(self, path: str, cache: int = CACHE) -> None:
-        from tokenizers import Tokenizer
+    return run
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        # ids as little-endian unsigned 32-bit numbers
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
 
-    def _part(self, piece: bytes) -> bytes:
-        ids = self.parts.get(piece)
-        if ids is None:
-            if len(self.parts) >= self.cache:
-                self.parts.clear()
-            ids = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            if len(piece) <= 64:
-                self.parts[piece] = ids
-        return ids
+def borders(sample: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Curve place and tie of the first row of every range but the first, where the sampled bytes reach equal parts."""
+    curve, tie, size = (sample.column(c).to_numpy() for c in ("curve", "tie", "bytes"))
+    order = np.lexsort((tie, curve))
+    curve, tie, total = curve[order], tie[order], np.cumsum(size[order])
+    if not len(total):
+        return curve, tie
+    at = np.unique(np.searchsorted(total, total[-1] * np.arange(1, ranges) / ranges))
+    at = at[(at > 0) & (at < len(total))]
+    return curve[at], tie[at]
 
-    def _word(self, word: bytes) -> bytes:
-        plain = word.isascii() and b"'" not in word
-        pieces = self.PLAIN.findall(word) if plain and not word.isalpha() else (word,)
-        ids = b"".join([self._part(p) for p in pieces])
-        if len(word) <= 64:
-            self.words[word] = ids
-        return ids
 
-    def encode(self, text: bytes) -> bytes:
-        if len(self.words) >= self.cache:
-            self.words.clear()
-        known = self.words
-        return b"".join([known[w] if w in known else self._word(w) for w in text.lower().split()])
+def _place(curves: np.ndarray, ties: np.ndarray):
+    """Every row with its place and its range: the number of borders at or before it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tie = batch.column("tie").to_numpy()
+            for i, j, buf, offs in blocks(batch.column("text")):
+                curve = places(buf, offs)
+                span = np.searchsorted(curves, curve, "left")
+                level = np.searchsorted(curves, curve, "right")
+                for value in np.unique(curve[level > span]):  # borders inside one place: the tie decides
+                    mine = curve == value
+                    lo, hi = np.searchsorted(curves, [value, value + 1], "left")
+                    span[mine] = lo + np.searchsorted(ties[lo:hi], tie[i:j][mine], "right")
+                cut = [batch.column(c).slice(i, j - i) for c in ("doc_id", "text")]
+                yield pa.RecordBatch.from_arrays([*cut, pa.array(curve), pa.array(tie[i:j]), pa.array(span.astype(np.int32))], ["doc_id", "text", "curve", "tie", "span"])
 
-_loaded: dict[str, WordTokens] = {}
+    return run
 
 
 def _pack(path: str, end_id: int, length: int):
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _loaded:
-            _loaded[path] = WordTokens(path)
-        tokens = _loaded[path]
+        tokens, end = bpe.load(path), np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
         at = 0
-        last_text, last_ids, end = None, None, np.array([end_id], "<u4").tobytes()
+        last_text, last_ids = None, None
         for batch in batches:
             out: list[list] = [[] for _ in columns]
-            for doc, text, curve in zip(*(batch.column(k) for k in range(3)), strict=True):
+            for doc, text, curve in zip(*(batch.column(k) for k in ("doc_id", "text", "curve")), strict=True):
                 text = text.as_py() or ""
                 if last_ids is None or text != last_text:  # copies follow each other on the curve
-                    last_ids = tokens.encode(text.encode()) + end
+                    last_ids = tokens.encode(text).astype("<u4").tobytes() + end
                     last_text = text
                 n, start, doc, curve = len(last_ids) // 4, 0, doc.as_py(), curve.as_py()
                 while start < n:
@@ -171,10 +171,15 @@ def pack(
     so a place that a third of the rows share is no bound. Equal rows give equal pieces. Other columns are not read.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-size // range_bytes))
-    placed = rows.mapInArrow(_place, "doc_id long, text string, curve long").withColumn("tie", F.xxhash64("text", "doc_id"))
-    ordered = placed.repartitionByRange(ranges, "curve", "tie").sortWithinPartitions("curve", "tie", "doc_id")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
+    ranges = max(1, min(MAX_RANGES, -(-size // range_bytes)))
+    keyed = rows.withColumn("tie", F.xxhash64("text", "doc_id"))
+    curves, ties = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if ranges > 1:
+        share = min(SAMPLES, MAX_SAMPLES // ranges) * ranges / size
+        curves, ties = borders(keyed.mapInArrow(_weigh(share), "curve long, tie long, bytes double").toArrow(), ranges)
+    placed = keyed.mapInArrow(_place(curves, ties), "doc_id long, text string, curve long, tie long, span int")
+    ordered = placed.repartitionById(len(curves) + 1, "span").sortWithinPartitions("curve", "tie", "doc_id")
     return ordered.select("doc_id", "text", "curve").mapInArrow(
         _pack(tokenizer, end_id, length),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long",

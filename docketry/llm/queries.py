@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import best_fit, divergence, embedding_dedup, exact_dedup, minhash_dedup, packing, passages, quality, sharding, suffix_dedup, toxicity, unigram
+from docketry.llm import best_fit, centroids, divergence, embedding_dedup, exact_dedup, minhash_dedup, packing, passages, quality, sharding, suffix_dedup, toxicity, unigram
 from docketry.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,36 @@ select lang, source, part, item, value, rank from
   (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found)
 where part = 'pair' or rank <= 200
 """
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 clusters of the integer vectors of 64 components, after five rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def _cluster_sql(k: int, rounds: int, dims: int) -> str:
+    """Each round: every vector with its nearest centroid, then the floored means of the centroids that have vectors."""
+    near = """, a{i} as materialized (
+  select r, vec_id, x, arg_min(c, struct_pack(d := d, c := c)) as c, min(d) as d from
+    (select v.r, v.vec_id, v.x, k.c, list_sum(list_transform(list_zip(v.x, k.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from v cross join c{i} k)
+  group by r, vec_id, x)"""
+    mean = """, c{j} as materialized (
+  select k.c, coalesce(m.x, k.x) as x from c{i} k left join
+    (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as x from
+      (select c, i, sum(x[i])::bigint as s, count(*) as n from a{i}, range(1, {dims} + 1) t(i) group by c, i) group by c) m using (c))"""
+    steps = "".join(near.format(i=i) + mean.format(i=i, j=i + 1, dims=dims) for i in range(rounds)) + near.format(i=rounds)
+    return f"""
+with v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) as x from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = {dims}),
+c0 as materialized (
+  select row_number() over (order by h, x) - 1 as c, x from
+    (select sha256('2:' || coalesce(vec_id::varchar, '')) as h, x from v order by h, x limit {k})){steps}
+select vec_id, a.c::int as cluster, d as distance, sum(d) over (partition by a.c)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+  sha256(list_aggregate(list_transform(k.x, lambda e: e::varchar), 'string_agg', ',')) as centroid_sha256
+from a{rounds} a join c{rounds} k using (c)
+"""
+
+
+ORACLES["op13_centroid_clusters"] = _cluster_sql(40, 5, 64)
