@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import or_default, strip, text
-from docketry.operators.blocks import RANK_BLOCK, TEXT_BLOCK, block_rank, ordered_concat
+from docketry.operators.blocks import RANK_BLOCK, TEXT_BLOCK, block_rank, ordered_concat, row_counts
 
 PAPERCLIP = "\U0001f4ce"
 LABEL_NAMES = 3
 DIGEST_FAILED, DIGEST_PARTIAL = 3, 2
+FILE, UPLOADED, ERROR = "file", "uploaded", "error"
 
 
 def split_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -23,18 +24,74 @@ def split_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     return part("items"), part("uploaded"), part("errors")
 
 
+def tagged_uploads(files: DataFrame, uploaded: DataFrame, errors: DataFrame) -> DataFrame:
+    """Chosen files, uploaded rows and errors of all batches in one table.
+
+    ``files``: batch_id, pos, name; ``uploaded``: batch_id, pos, id and chunk_count if known; ``errors``: batch_id, filename,
+    and pos and detail if known.
+    """
+    none = F.lit(None).cast("string")
+    chunks = F.coalesce(F.col("chunk_count").try_cast("double"), F.lit(0.0)) if "chunk_count" in uploaded.columns else F.lit(0.0)
+    place = F.col("pos").cast("bigint") if "pos" in errors.columns else F.lit(0).cast("bigint")
+    line = F.concat("filename", F.lit(": "), "detail") if "detail" in errors.columns else none
+
+    def rows(df, kind, pos, name, id_, n, line_):
+        return df.select("batch_id", F.lit(kind).alias("kind"), pos.alias("pos"), name.alias("name"), id_.alias("id"), n.alias("chunks"), line_.alias("line"))
+
+    zero = F.lit(0.0)
+    pos = F.col("pos").cast("bigint")
+    return (
+        rows(files, FILE, pos, F.col("name"), none, zero, none)
+        .unionByName(rows(uploaded, UPLOADED, pos, none, text("id"), F.when(F.isnan(chunks), 0.0).otherwise(chunks), none))
+        .unionByName(rows(errors, ERROR, place, F.col("filename"), none, zero, line))
+    )
+
+
+def _zipped(tagged: DataFrame) -> DataFrame:
+    """Every tagged row with its rank in its group and, for a kept file, the uploaded id of the same rank.
+
+    All windows are cut by the batch, so one shuffle by batch serves them all.
+    """
+    rows = tagged.repartition("batch_id").withColumn("_n", F.lower(text("name")))
+    same_name, batch = Window.partitionBy("batch_id", "_n"), Window.partitionBy("batch_id")
+    is_file, is_up = F.col("kind") == FILE, F.col("kind") == UPLOADED
+    marked = rows.withColumns(
+        {
+            "_failed": is_file & (F.col("_n") != "") & F.max(F.col("kind") == ERROR).over(same_name),
+            # a row without id takes nobody, and nobody behind it gets one
+            "_stop": F.min(F.when(is_up & (F.col("id") == ""), F.col("pos"))).over(batch),
+        }
+    )
+    marked = marked.withColumn("_pairs", (is_file & ~F.col("_failed")) | (is_up & (F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))))
+    ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy("batch_id", "kind", "_pairs").orderBy("pos")))
+    partner = F.max(F.when(is_up & F.col("_pairs"), F.col("id"))).over(Window.partitionBy("batch_id", "_pairs", "_rank"))
+    return ranked.withColumn("file_id", F.when(is_file & F.col("_pairs"), partner))
+
+
+def _outcomes(zipped: DataFrame) -> DataFrame:
+    outcome = F.when(F.col("_failed"), "failed").when(F.col("file_id").isNotNull(), "uploaded").otherwise("waiting")
+    return zipped.where(F.col("kind") == FILE).select("batch_id", "pos", "name", "file_id", outcome.alias("outcome"))
+
+
 def reconcile(files: DataFrame, uploaded: DataFrame, errors: DataFrame, block: int = RANK_BLOCK) -> DataFrame:
     """Which uploaded row belongs to which chosen file.
 
     Files whose lower-case name is among the errors of the batch failed. The others take the
     uploaded rows in order; a row without id takes nobody, and nobody behind it gets one.
-    ``block`` is the span of positions ranked together. ``files``: batch_id, pos, name; ``uploaded``: batch_id, pos, id; ``errors``: batch_id, filename.
+    A batch of more than ``block`` rows is ranked in blocks.
     """
-    name = F.lower(text("name"))
+    tagged = tagged_uploads(files, uploaded, errors)
+    if row_counts(tagged, ["batch_id"])[1] <= block:
+        return _outcomes(_zipped(tagged))
+    return _reconcile_in_blocks(files, uploaded, errors, block)
+
+
+def _reconcile_in_blocks(files: DataFrame, uploaded: DataFrame, errors: DataFrame, block: int) -> DataFrame:
+    """The same by joins, for batches that one task should not hold."""
     failed_names = errors.select("batch_id", F.lower(text("filename")).alias("_n")).where(F.col("_n") != "").distinct()
-    tagged = files.withColumn("_n", name)
-    failed = tagged.join(failed_names, ["batch_id", "_n"], "left_semi")
-    kept = block_rank(tagged.join(failed_names, ["batch_id", "_n"], "left_anti"), ["batch_id"], "pos", "_rank", block)
+    named = files.withColumn("_n", F.lower(text("name")))
+    failed = named.join(failed_names, ["batch_id", "_n"], "left_semi")
+    kept = block_rank(named.join(failed_names, ["batch_id", "_n"], "left_anti"), ["batch_id"], "pos", "_rank", block)
     ids = uploaded.withColumn("_id", text("id"))
     first_blank = ids.groupBy("batch_id").agg(F.min(F.when(F.col("_id") == "", F.col("pos"))).alias("_stop"))
     live = ids.join(first_blank, "batch_id").where(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
@@ -48,6 +105,26 @@ def reconcile(files: DataFrame, uploaded: DataFrame, errors: DataFrame, block: i
     ).unionByName(failed.select(*columns, F.lit(None).cast("string").alias("file_id"), F.lit("failed").alias("outcome")))
 
 
+def upload_report(files: DataFrame, uploaded: DataFrame, errors: DataFrame, block: int = RANK_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """J7 and A6 of the same batches: (outcome of every file, summary of every batch), from one pass over the three tables."""
+    tagged = tagged_uploads(files, uploaded, errors)
+    if row_counts(tagged, ["batch_id"])[1] > block:
+        outcomes = _reconcile_in_blocks(files, uploaded, errors, block)
+        return outcomes, batch_summary(uploaded, errors, outcomes)
+    zipped = _zipped(tagged)
+    is_up, is_error = F.col("kind") == UPLOADED, F.col("kind") == ERROR
+    lines = F.collect_list(F.when(is_error & (F.col("_rank") <= DIGEST_FAILED), F.struct("_rank", F.col("line").alias("_line"))))
+    rows = zipped.groupBy("batch_id").agg(
+        F.count_if(is_up).alias("uploaded"),
+        F.sum(F.when(is_up, F.col("chunks"))).cast("bigint").alias("chunks"),
+        F.count("file_id").alias("_ids"),
+        F.count_if(is_error).alias("errors"),
+        F.array_sort(lines).alias("_lines"),
+    )
+    rows = rows.where((F.col("uploaded") > 0) | (F.col("errors") > 0)).withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("bigint")))
+    return _outcomes(zipped), _summary(rows)
+
+
 def batch_summary(uploaded: DataFrame, errors: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """Counts, chunk total, error digest and outcome of every batch.
 
@@ -76,7 +153,11 @@ def batch_summary(uploaded: DataFrame, errors: DataFrame, resolved: DataFrame |
     )
     rows = up.join(bad, "batch_id", "full_outer").join(head, "batch_id", "left")
     zero = F.lit(0).cast("bigint")
-    rows = rows.withColumns({c: F.coalesce(F.col(c), zero) for c in ("uploaded", "chunks", "errors", "_ids")})
+    return _summary(rows.withColumns({c: F.coalesce(F.col(c), zero) for c in ("uploaded", "chunks", "errors", "_ids")}))
+
+
+def _summary(rows: DataFrame) -> DataFrame:
+    """Digest and outcome from the counts and the first error lines of every batch."""
     none, some = F.col("uploaded") == 0, F.col("errors") > 0
     shown = F.slice("_lines", F.lit(1), F.when(none, DIGEST_FAILED).otherwise(DIGEST_PARTIAL))
     digest = F.array_join(F.transform(shown, lambda x: x["_line"]), " | ")

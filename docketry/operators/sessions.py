@@ -122,8 +122,8 @@ def roll_up(turns: DataFrame) -> DataFrame:
 
 
 def fingerprint(*cols) -> Column:
-    """One key over several columns; NULL counts as blank."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
+    """One key over several columns; NULL counts as blank. A JSON list keeps the borders between the values."""
+    return F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])), 256)
 
 
 def changed_only(log: DataFrame, keys: list[str], pos: str, columns: list[str]) -> DataFrame:

@@ -104,10 +104,13 @@ def draft_review(values: DataFrame, bodies: DataFrame) -> DraftReview:
 def ingest_report(responses: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file outcomes, batch summary) of nested upload responses."""
     _, uploaded, errors = ingest.split_responses(responses)
-    outcomes = ingest.reconcile(files, uploaded, errors)
-    return outcomes, ingest.batch_summary(uploaded, errors, outcomes)
+    return ingest.upload_report(files, uploaded, errors)
 
 
-def stream_turns(pieces: DataFrame, ttl_ms: int | None = None, idle_ms: int | None = None) -> DataFrame:
-    """A stream of packets (stream_id, seq, packet) to a stream of turn updates."""
-    return fold.fold_stream(packets.typed_events(packets.parse_packets(pieces)), ttl_ms, idle_ms)
+def stream_turns(packets_in: DataFrame, ttl_ms: int | None = None, idle_ms: int | None = None) -> DataFrame:
+    """A stream of packets (stream_id, seq, packet) to a stream of turn updates.
+
+    Bodies that arrive in pieces pass ``packets.cut_pieces`` first, as a stream of its own: two stateful steps of which
+    one gives updates cannot share a query.
+    """
+    return fold.fold_stream(packets.typed_events(packets.parse_packets(packets_in, keep_numbers=True)), ttl_ms, idle_ms)

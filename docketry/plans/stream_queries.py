@@ -8,7 +8,7 @@ from docketry.operators import records
 from docketry.plans.registry import query
 from docketry.session import shared_dir
 from docketry.sources import fixtures as fx
-from docketry.streaming import debounce, fold, packets
+from docketry.streaming import debounce, fold, packets, requests, sink
 
 FOLD = """en AS (SELECT stream_id, min(seq) FILTER (event IN ('done','error')) AS e FROM v_sse GROUP BY stream_id),
 lv AS (SELECT v.* FROM v_sse v JOIN en ON en.stream_id = v.stream_id WHERE e IS NULL OR seq <= e),
@@ -71,24 +71,35 @@ def body_packets(spark, sf_dir):
 
 def _run_stream(spark, frame, mode: str, schema):
     """Run a bounded stream to its end and give its output rows."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    base = shared_dir(spark, "stream")
-    out = f"{base}/rows"
+    out = f"{shared_dir(spark, 'stream')}/rows"
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (
-        frame.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .foreachBatch(write)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    run_to_end(spark, frame, mode, write)
     return spark.read.schema(schema).parquet(out)
 
 
+def run_to_end(spark, frame, mode: str, write) -> None:
+    """Run a bounded stream to its end; the session's state store setting is put back once the stream has read it."""
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rocks)
+    try:
+        stream = frame.writeStream.outputMode(mode).option("checkpointLocation", shared_dir(spark, "checkpoint"))
+        running = stream.foreachBatch(write).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    running.awaitTermination()
+
+
+def as_stream(spark, rows, parts: int, *by):
+    """The rows as a stream of ``parts`` files, dealt by a hash of ``by`` and so out of order; one file a batch."""
+    path = shared_dir(spark, "input")
+    rows.repartition(parts, F.xxhash64(*by)).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("folded_turns_stream", "S6 ST2 ST3", f"WITH {FOLD} SELECT * FROM fo", ("v_sse",))
 def folded_turns_stream(spark, sf_dir):
     """The stateful fold over the events as a stream of files.
@@ -151,6 +162,69 @@ def latest_request_wins(spark, sf_dir):
     return debounce.latest_requests(n.select("scope", F.col("seq").alias("request_id"), "notes"), requests)
 
 
+@query(
+    "latest_request_wins_stream",
+    "S6 ST6",
+    """SELECT scope, request_id, CAST(request_id AS BIGINT) AS seq, body FROM (SELECT scope, seq AS request_id, notes AS body, row_number() OVER (PARTITION BY scope ORDER BY seq DESC) AS rn FROM v_notes) WHERE rn = 1 AND request_id % 5 <> 4""",
+    ("v_notes",),
+)
+def latest_request_wins_stream(spark, sf_dir):
+    """Requests and their answers as files out of order, so that answers come before their request; some have none."""
+    n = fx.note_changes(spark, sf_dir).withColumn("request_id", F.col("seq"))
+    told = n.where(F.col("seq") % 5 != 4).select("scope", "request_id", F.col("notes").alias("body"))
+    events = requests.tagged(n.select("scope", "request_id", "seq"), told)
+    updates = requests.latest_requests_stream(as_stream(spark, events, 4, "request_id", "kind"), None)
+    shape = "scope bigint, request_id bigint, seq bigint, body string, answered boolean"
+    return requests.settled(_run_stream(spark, updates, "update", shape))
+
+
+@query(
+    "body_pieces_stream",
+    "S6 ST1",
+    """SELECT stream_id, seq, CASE WHEN seq % 10 = 9 THEN 'message' ELSE event END AS event, CASE WHEN seq % 10 < 7 THEN text || 'é€' END AS text
+FROM (SELECT *, max(seq) OVER (PARTITION BY stream_id) AS last FROM v_sse) WHERE seq % 10 NOT IN (7, 8) AND seq < last""",
+    ("v_sse",),
+)
+def body_pieces_stream(spark, sf_dir):
+    """Whole bodies cut at any byte, inside characters and line ends too, and dealt over files out of order."""
+    from docketry.operators.blocks import ordered_concat
+
+    accented = F.replace("packet", F.lit(' "}'), F.lit(' é€"}'))
+    joined = ordered_concat(raw_packets(spark, sf_dir).withColumn("packet", accented), ["stream_id"], "seq", "packet", "body", "\r\n\r\n")
+    body = F.col("body").cast("binary")
+    step = (F.col("stream_id") % 37 + 11).cast("int")
+    n = F.ceil(F.octet_length("body") / step).cast("int")
+    pieces = joined.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
+    pieces = pieces.select("stream_id", F.col("piece").cast("bigint").alias("piece"), F.substring(body, F.col("piece") * step + 1, step).alias("body"))
+    cut = packets.cut_pieces(as_stream(spark, pieces, 4, "stream_id", "piece"))
+    found = _run_stream(spark, cut, "append", "stream_id bigint, seq bigint, packet string")
+    return packets.typed_events(packets.parse_packets(found)).select("stream_id", "seq", "event", "text")
+
+
+SESSION = "scope bigint, id bigint, title string, digest string, status string, finish_reason string, rag_note string, source_count bigint, turn_count bigint, created_s bigint, updated_s bigint"
+
+
+@query(
+    "saved_sessions_stream",
+    "W9 ST5 W1 W3",
+    """WITH l AS (SELECT scope, session_id AS id, arg_max(pos // 4, pos) AS part, arg_max(status, pos) AS status, count(*) AS n FROM v_turns GROUP BY ALL)
+SELECT scope, id, 'part ' || part AS title, status, 1704067200 + id * 3600 AS created_s FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY id DESC) AS rn FROM l) WHERE rn <= 50""",
+    ("v_turns",),
+)
+def saved_sessions_stream(spark, sf_dir):
+    """A version of a session after every turn, most of them like the one before; the table that the changes leave."""
+    t = fx.turns(spark, sf_dir)
+    part = F.floor(F.col("pos") / 4)
+    versions = t.select(
+        "scope", F.col("session_id").alias("id"), F.concat(F.lit("part "), part.cast("string")).alias("title"), F.lit("").alias("digest"), "status", F.lit("").alias("finish_reason"),
+        F.lit(None).cast("string").alias("rag_note"), F.lit(None).cast("bigint").alias("source_count"), part.cast("bigint").alias("turn_count"),
+        (F.lit(1704067200) + F.col("session_id") * 3600).cast("bigint").alias("created_s"), F.col("ts_s").cast("bigint").alias("updated_s"),
+    )
+    path, stored = shared_dir(spark, "sessions"), SESSION + ", fingerprint string"
+    run_to_end(spark, sink.changed_stream(as_stream(spark, versions, 4, "id", "updated_s")), "update", sink.session_writer(path, stored, 16))
+    return sink.read_sessions(spark, path, stored).select("scope", "id", "title", "status", "created_s")
+
+
 @query(
     "deleted_files",
     "J6",

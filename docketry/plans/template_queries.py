@@ -497,7 +497,7 @@ rs AS (SELECT kp.batch_id, kp.pos, kp.name, sl.id AS file_id, CASE WHEN sl.id IS
 
 @query("reconciled_uploads", "J7 S7", f"WITH {RECON} SELECT * FROM rs", ("v_upload_rows",))
 def reconciled_uploads(spark, sf_dir):
-    return ingest.reconcile(*upload_parts(spark, sf_dir), fx.UPLOAD_BLOCK)
+    return ingest.reconcile(*upload_parts(spark, sf_dir))
 
 
 @query(
@@ -514,8 +514,7 @@ FROM u FULL JOIN e ON e.batch_id = u.batch_id LEFT JOIN i ON i.batch_id = u.batc
     ("v_upload_rows",),
 )
 def upload_summary(spark, sf_dir):
-    files, uploaded, errors = upload_parts(spark, sf_dir)
-    return ingest.batch_summary(uploaded, errors, ingest.reconcile(files, uploaded, errors, fx.UPLOAD_BLOCK))
+    return ingest.upload_report(*upload_parts(spark, sf_dir))[1]
 
 
 @query(

@@ -72,3 +72,12 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete staged results that nothing reads any more; what is computed from them must have been written."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(os.path.dirname(file))
+            if f"{os.sep}docketry{os.sep}" in folder.toString():
+                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

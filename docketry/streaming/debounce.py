@@ -24,9 +24,9 @@ def debounced(changes: DataFrame, value: str, gap: str = SAVE_GAP, delay: str |
 
 
 def latest_requests(responses: DataFrame, requests: DataFrame) -> DataFrame:
-    """ST6: responses whose request is still the newest one of its scope.
+    """ST6: responses whose request is still the newest one of its scope; of equal numbers the larger id is newer.
 
-    ``requests``: scope, request_id, seq; ``responses``: scope, request_id, ...
+    ``requests``: scope, request_id, seq; ``responses``: scope, request_id, ... The streaming form is in ``requests``.
     """
-    newest = requests.groupBy("scope").agg(F.max_by("request_id", "seq").alias("request_id"))
+    newest = requests.groupBy("scope").agg(F.max_by("request_id", F.struct("seq", "request_id")).alias("request_id"))
     return responses.join(newest, ["scope", "request_id"], "left_semi")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from docketry.operators.blocks import ordered_concat
+from docketry.operators.blocks import TEXT_BLOCK
 
 # Fixed value: shown when an error event carries no detail.
 STREAM_ERROR = "Une erreur est survenue pendant le streaming."
@@ -36,40 +36,71 @@ def _complete(events: DataFrame) -> DataFrame:
     return events.withColumns(missing) if missing else events
 
 
-def fold_batch(events: DataFrame) -> DataFrame:
-    """Fold finished streams. No stream is ever collected event by event; a replayed number counts once.
+def _nth(items, n: int = 0):
+    return F.get(items, F.lit(n))
 
-    First the few facts that decide everything are aggregated per stream (first terminal event,
-    last replace, last meta), with map-side combine. Then only the tokens that survive are joined
-    to text, block by block.
-    """
-    e = _complete(events).where(F.col("event").isin(*KNOWN)).dropDuplicates(["stream_id", "seq"])
-    ends = e.groupBy("stream_id").agg(F.min(F.when(F.col("event").isin("done", "error"), F.col("seq"))).alias("_end"))
-    live = e.join(ends, "stream_id").where(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
-    replaces = (F.col("event") == "replace") & F.col("text").isNotNull()
-    info = F.struct("event", "text", "note", "reason", "sources")
-    facts = live.groupBy("stream_id").agg(
-        F.max(F.when(replaces, F.col("seq"))).alias("_base"),
-        F.max_by(F.when(replaces, F.col("text")), F.when(replaces, F.col("seq"))).alias("_text"),
-        F.max_by(F.when(F.col("event") == "meta", info), F.when(F.col("event") == "meta", F.col("seq"))).alias("_meta"),
-        F.max_by(F.when(F.col("event").isin("done", "error"), info), F.when(F.col("event").isin("done", "error"), F.col("seq"))).alias("_last"),
-        F.max("seq").alias("last_seq"),
-    )
-    tokens = live.where((F.col("event") == "token") & (F.col("text") != "")).join(
-        facts.select("stream_id", "_base"), "stream_id"
+
+def _seqs(items):
+    return F.transform(items, lambda x: x["seq"])
+
+
+def _part_of_block(rows: DataFrame) -> DataFrame:
+    """The fold of the events ``_ev`` (sorted) of one block: what it adds, and what it overrides."""
+    by_name = lambda name: lambda x: x["event"] == name
+    terminal = lambda x: x["event"].isin("done", "error")
+    once = lambda x, i: (i == 0) | (F.get("_ev", i - 1)["seq"] != x["seq"])
+    cut = rows.withColumn("_once", F.filter("_ev", once)).withColumn("_stop", _nth(F.filter("_once", terminal)))
+    end = F.col("_stop.seq")
+    live = cut.withColumn("_live", F.filter("_once", lambda x: end.isNull() | (x["seq"] <= end)))
+    based = live.withColumn("_base", _nth(F.reverse(F.filter("_live", lambda x: by_name("replace")(x) & x["text"].isNotNull()))))
+    base = F.col("_base.seq")
+    texts = lambda keep: F.array_join(F.transform(F.filter("_live", keep), lambda x: x["text"]), "")
+    return based.select(
+        "stream_id",
+        F.struct(
+            F.col("_blk").alias("blk"),
+            F.col("_stop").alias("stop"),
+            F.col("_base.text").alias("base"),
+            texts(lambda x: by_name("token")(x) & (base.isNull() | (x["seq"] > base))).alias("tail"),
+            texts(by_name("reasoning")).alias("thoughts"),
+            _nth(F.reverse(F.filter("_live", by_name("meta")))).alias("meta"),
+            F.array_max(_seqs(F.col("_live"))).alias("last_seq"),
+        ).alias("_part"),
     )
-    tail = tokens.where(F.col("_base").isNull() | (F.col("seq") > F.col("_base")))
-    thoughts = live.where((F.col("event") == "reasoning") & (F.col("text") != ""))
-    rows = facts.join(ordered_concat(tail, ["stream_id"], "seq", "text", "_tail"), "stream_id", "left").join(
-        ordered_concat(thoughts, ["stream_id"], "seq", "text", "_thoughts"), "stream_id", "left"
+
+
+def fold_batch(events: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
+    """Fold finished streams; a replayed number counts once.
+
+    The fold of a stretch of events can be folded again: a stretch adds text, or overrides what came before (replace),
+    or ends the turn. So events are folded block by block of their numbers, and a stream collects one part for each block.
+    Two shuffles, no join.
+    """
+    e = _complete(events).where(F.col("event").isin(*KNOWN)).withColumn("_blk", F.floor(F.col("seq") / block).cast("bigint"))
+    cells = F.struct("seq", "event", "text", *EVENT_COLUMNS)
+    blocks = e.groupBy("stream_id", "_blk").agg(F.array_sort(F.collect_list(cells)).alias("_ev"))
+    parts = _part_of_block(blocks).groupBy("stream_id").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    cut = parts.withColumn("_stop", _nth(F.filter("_parts", lambda x: x["stop"].isNotNull())))
+    end = F.col("_stop.blk")
+    live = cut.withColumn("_live", F.filter("_parts", lambda x: end.isNull() | (x["blk"] <= end)))
+    based = live.withColumn("_base", _nth(F.reverse(F.filter("_live", lambda x: x["base"].isNotNull()))))
+    base = F.col("_base.blk")
+    rows = based.select(
+        "stream_id",
+        F.col("_stop.stop").alias("_last"),
+        F.col("_base.base").alias("_text"),
+        F.array_join(F.transform(F.filter("_live", lambda x: base.isNull() | (x["blk"] >= base)), lambda x: x["tail"]), "").alias("_tail"),
+        F.array_join(F.transform("_live", lambda x: x["thoughts"]), "").alias("_thoughts"),
+        _nth(F.reverse(F.filter(F.transform("_live", lambda x: x["meta"]), lambda x: x.isNotNull()))).alias("_meta"),
+        F.array_max(F.transform("_live", lambda x: x["last_seq"])).alias("last_seq"),
     )
     last, failed, done = F.col("_last"), F.col("_last.event") == "error", F.col("_last.event") == "done"
     blank = F.lit("")
-    answer = F.concat(F.coalesce("_text", blank), F.coalesce("_tail", blank))
+    answer = F.concat(F.coalesce("_text", blank), "_tail")
     return rows.select(
         "stream_id",
         F.when(failed, F.coalesce(last["text"], F.lit(STREAM_ERROR))).otherwise(answer).alias("answer"),
-        F.coalesce("_thoughts", blank).alias("reasoning"),
+        F.col("_thoughts").alias("reasoning"),
         F.when(failed, "error").otherwise("done").alias("status"),
         F.when(failed, F.coalesce(last["reason"], F.lit("stream_error"))).otherwise(F.coalesce(last["reason"], F.lit("stop"))).alias("finish_reason"),
         F.when(done, F.coalesce(last["note"], blank)).otherwise(F.coalesce(F.col("_meta.note"), blank)).alias("rag_note"),

@@ -1,12 +1,16 @@
-"""ST1: server-sent event packets to typed events."""
+"""ST1: server-sent event packets to typed events; bodies that arrive in pieces, cut at any byte, to packets."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docketry.functions.jsontext import strict_json
-from docketry.functions.text import let, strip
+from docketry.functions.text import BLANKS, let, strip
 
 DEFAULT_EVENT = "message"
 
@@ -16,25 +20,95 @@ def _lines_with(lines: Column, prefix: str) -> Column:
     return F.transform(hits, lambda x: strip(F.substr(x, F.lit(len(prefix) + 1))))
 
 
-def parse_packets(packets: DataFrame) -> DataFrame:
+def parse_packets(packets: DataFrame, keep_numbers: bool = False) -> DataFrame:
     """(stream_id, seq, packet) to (stream_id, seq, event, payload).
 
     The last ``event:`` line names the event; the ``data:`` lines together are its JSON. Packets
-    without data or with bad JSON are dropped.
+    without data or with bad JSON are dropped, or with ``keep_numbers`` stay as rows without event and
+    payload: the fold then sees no gap in the numbers.
     """
     lines = F.split(strip(F.replace("packet", F.lit("\r"), F.lit(""))), "\n")
     cut = packets.withColumn("_lines", lines)
     event = F.coalesce(F.get(F.reverse(_lines_with(F.col("_lines"), "event:")), F.lit(0)), F.lit(DEFAULT_EVENT))
     data = F.array_join(_lines_with(F.col("_lines"), "data:"), "\n")
     has_data = F.exists("_lines", lambda x: F.startswith(x, F.lit("data:")))
+    payload = let(data, lambda d: strict_json(d))
+    if keep_numbers:
+        read = cut.withColumn("payload", F.when(has_data, payload))
+        return read.withColumn("event", F.when(F.col("payload").isNotNull(), event)).drop("_lines", "packet")
     return (
         cut.where(has_data)
-        .withColumns({"event": event, "payload": let(data, lambda d: strict_json(d))})
+        .withColumns({"event": event, "payload": payload})
         .where(F.col("payload").isNotNull())
         .drop("_lines", "packet")
     )
 
 
+class PacketCutter(StatefulProcessor):
+    """State of one body: the bytes behind its last blank line, and the pieces that came ahead of their turn.
+
+    Pieces are numbered from ``first_piece`` on. Carriage returns are dropped, a blank line ends a packet, blank packets
+    count as none; packets are numbered from 1. Replayed pieces are ignored. Bytes are decoded packet by packet, so a
+    character that two pieces share is whole; bytes that are no UTF-8 become U+FFFD.
+    """
+
+    def __init__(self, first_piece: int):
+        self._first = first_piece
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._at = handle.getValueState("at", "piece bigint, packets bigint, tail binary")
+        self._later = handle.getMapState("later", "piece bigint", "body binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        piece, packets, tail = self._at.get() if self._at.exists() else (self._first, 0, b"")
+        tail = bytearray(tail)
+        found: list[str] = []
+        for frame in rows:
+            for number, body in frame[["piece", "body"]].sort_values("piece").itertuples(index=False, name=None):
+                if number == piece:
+                    piece += 1
+                    _cut(tail, bytes(body), found)
+                elif number > piece:
+                    self._later.updateValue((int(number),), (bytes(body),))
+        while self._later.containsKey((piece,)):
+            body = self._later.getValue((piece,))[0]
+            self._later.removeKey((piece,))
+            piece += 1
+            _cut(tail, bytes(body), found)
+        self._at.update((int(piece), packets + len(found), bytes(tail)))
+        if found:
+            numbers = range(packets + 1, packets + 1 + len(found))
+            yield pd.DataFrame({"stream_id": [key[0]] * len(found), "seq": list(numbers), "packet": found})
+
+    def close(self) -> None:
+        pass
+
+
+def _cut(tail: bytearray, body: bytes, found: list[str]) -> None:
+    """Add a piece to ``tail`` and take the finished packets out of it."""
+    look = max(0, len(tail) - 1)
+    tail += body.replace(b"\r", b"")
+    start = 0
+    while (end := tail.find(b"\n\n", look)) >= 0:
+        packet = tail[start:end].decode(errors="replace").strip(BLANKS)
+        if packet:
+            found.append(packet)
+        start = look = end + 2
+    del tail[:start]
+
+
+def cut_pieces(pieces: DataFrame, first_piece: int = 0) -> DataFrame:
+    """A stream of body pieces (stream_id, piece, body: bytes) to packets (stream_id, seq, packet).
+
+    Append mode, RocksDB. A body's state is its unfinished packet, and the pieces ahead of a missing one.
+    """
+    kind = pieces.schema["stream_id"].dataType.simpleString()
+    rows = pieces.select("stream_id", F.col("piece").cast("bigint").alias("piece"), F.coalesce(F.col("body").cast("binary"), F.lit(b"")).alias("body"))
+    return rows.groupBy("stream_id").transformWithStateInPandas(
+        statefulProcessor=PacketCutter(first_piece), outputStructType=f"stream_id {kind}, seq bigint, packet string", outputMode="append", timeMode="none"
+    )
+
+
 def split_bodies(bodies: DataFrame) -> DataFrame:
     """Complete stream bodies (stream_id, body) to packets; an unterminated tail is dropped.
 

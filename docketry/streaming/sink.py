@@ -1,24 +1,39 @@
-"""ST5: changed-only upsert of session records, for ``foreachBatch``."""
+"""ST5: changed-only saving of session records, on a stream.
+
+``changed_stream`` lets a record pass when its content differs from the last one that passed (its fingerprint is the
+state). ``session_writer`` merges what passed into a table in hash buckets of scopes: only buckets with a change are
+read and rewritten, all others keep their files.
+"""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docketry.operators import records
 from docketry.operators.sessions import fingerprint
+from docketry.session import staged
 
 COMPARED = ["title", "digest", "status", "finish_reason", "rag_note", "source_count", "turn_count"]
+BUCKETS = 256
+# times keep their microseconds on the way through JSON
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def changed_records(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Incoming rows that are new or whose content differs from the stored row."""
-    old = stored.select("scope", "id", F.col("fingerprint").alias("_old"))
+    """Incoming rows that are new, or whose content differs from the stored row and that are not older than it."""
+    old = stored.select("scope", "id", F.col("fingerprint").alias("_old"), F.col("updated_s").alias("_at"))
     new = incoming.withColumn("fingerprint", fingerprint(*COMPARED))
     joined = new.join(old, ["scope", "id"], "left")
-    return joined.where(F.col("_old").isNull() | (F.col("_old") != F.col("fingerprint"))).drop("_old")
+    newer = (F.col("_old") != F.col("fingerprint")) & F.coalesce(F.col("updated_s") >= F.col("_at"), F.lit(True))
+    return joined.where(F.col("_old").isNull() | newer).drop("_old", "_at")
 
 
 def merge(stored: DataFrame, changes: DataFrame, keep: int = records.KEEP_CONSULTATIONS) -> DataFrame:
@@ -33,40 +48,106 @@ def merge(stored: DataFrame, changes: DataFrame, keep: int = records.KEEP_CONSUL
     return records.retain(flat, keep, F.col("updated_s").desc(), F.col("id")).select(*columns)
 
 
-class SessionSink:
-    """Keeps a versioned session table below ``path``; a replayed batch changes nothing.
+def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of one record in an Arrow batch the newest, before the shuffle; a tie leaves the later row."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch]).append_column("_row", pa.array(range(batch.num_rows), pa.int64()))
+        order = pc.sort_indices(table, [("updated_s", "ascending"), ("_row", "ascending")])
+        last = table.take(order).group_by(["scope", "id"], use_threads=False).aggregate([("_row", "last")])
+        yield batch.take(last.column("_row_last").combine_chunks())
+
+
+class LastSaved(StatefulProcessor):
+    """State of one record: the content and the time of the row that passed last."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._saved = handle.getValueState("saved", "fingerprint string, updated_s bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
+        for frame in rows:
+            last = frame.iloc[[frame["updated_s"].to_numpy().argmax()]]
+            if newest is None or last["updated_s"].iloc[0] >= newest["updated_s"].iloc[0]:
+                newest = last
+        content, at = newest["fingerprint"].iloc[0], int(newest["updated_s"].iloc[0])
+        if self._saved.exists():
+            old, since = self._saved.get()
+            if old == content or at < since:
+                return
+        self._saved.update((content, at))
+        yield newest
+
+    def close(self) -> None:
+        pass
+
+
+def changed_stream(incoming: DataFrame) -> DataFrame:
+    """Records of a stream (scope, id, updated_s, COMPARED and others) that differ from what passed before.
+
+    Update mode, RocksDB. Of the rows of one record in a batch only the newest counts; one older than what passed does
+    not. Rows without scope, id or time are dropped. Numbers that may be NULL come out as they went in.
+    """
+    known = incoming.where(F.col("scope").isNotNull() & F.col("id").isNotNull() & F.col("updated_s").isNotNull())
+    rows = known.withColumn("fingerprint", fingerprint(*COMPARED))
+    # the row travels as one JSON text: pandas has no whole numbers with NULLs among them
+    rest = F.to_json(F.struct(*incoming.columns), MICROS).alias("record")
+    narrow = rows.select("scope", "id", F.col("updated_s").cast("bigint").alias("updated_s"), "fingerprint", rest)
+    fewer = narrow.mapInArrow(_newest, narrow.schema)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields)
+    passed = fewer.groupBy("scope", "id").transformWithStateInPandas(statefulProcessor=LastSaved(), outputStructType=kind, outputMode="update", timeMode="none")
+    whole = F.from_json("record", incoming.schema, MICROS)
+    return passed.select(whole.alias("r")).select("r.*")
+
+
+def read_sessions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The saved records; an empty table before the first change."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], f"{schema}, bucket int")
+    return spark.read.schema(f"{schema}, bucket int").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def session_writer(path: str, schema: str, buckets: int = BUCKETS, keep: int = records.KEEP_CONSULTATIONS) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps the table below ``path`` up to date.
 
-    Every batch writes a new version beside the old one and only then moves the pointer file, so a
-    lost executor or driver leaves the last complete version in place.
+    ``schema``: the stored columns, ``fingerprint`` among them. The new content of the touched buckets is first written
+    beside the table, with the batch's number, and then replaces their partitions. A batch that is run again after a
+    failure copies that content again; one that had been finished finds no change and writes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        base = jvm.org.apache.hadoop.fs.Path(self.path)
-        return base.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def version(self) -> int:
-        fs, path = self._fs()
-        done = path(self.path + "/_done")
-        if not fs.exists(done):
-            return -1
-        names = [s.getPath().getName() for s in fs.listStatus(done)]
-        return max((int(n) for n in names), default=-1)
-
-    def read(self) -> DataFrame:
-        v = self.version()
-        if v < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(os.path.join(self.path, f"v={v}"))
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.version():
-            return
-        stored = self.read()
-        changes = changed_records(batch, stored)
-        merge(stored, changes).write.mode("overwrite").parquet(os.path.join(self.path, f"v={batch_id}"))
-        fs, path = self._fs()
-        fs.create(path(f"{self.path}/_done/{batch_id}")).close()
+    def bucket():
+        return F.pmod(F.xxhash64("scope"), F.lit(buckets)).cast("int")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ahead = f"{path}_next"
+        if not _is_pending(spark, ahead, batch_id):
+            incoming = staged(batch.withColumn("bucket", bucket()), "incoming")
+            met = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]  # at most ``buckets``
+            if not met:
+                return
+            stored = read_sessions(spark, path, schema).where(F.col("bucket").isin(met))
+            changes = staged(changed_records(incoming, stored), "changes")
+            touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]
+            if not touched:
+                return
+            merged = merge(stored.where(F.col("bucket").isin(touched)).drop("bucket"), changes, keep).withColumn("bucket", bucket())
+            merged.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(ahead)
+        merged = spark.read.schema(f"{schema}, bucket int, batch_id bigint").parquet(ahead).drop("batch_id")
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(ahead)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    return write
+
+
+def _is_pending(spark: SparkSession, ahead: str, batch_id: int) -> bool:
+    """Whether the content beside the table is complete and of this batch."""
+    if not _exists(spark, os.path.join(ahead, "_SUCCESS")):
+        return False
+    first = spark.read.parquet(ahead).select("batch_id").first()
+    return first is not None and first["batch_id"] == batch_id

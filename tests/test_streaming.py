@@ -1,11 +1,15 @@
 """Streams must give what the batch job gives, whatever the batches are."""
 
+import os
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.streaming import fold, packets, sink
+from docketry.plans import stream_queries
+from docketry.streaming import debounce, fold, packets, requests, sink
 
 SCHEMA = "stream_id bigint, seq bigint, event string, text string, note string, reason string, sources string"
 EVENTS = [
@@ -71,17 +75,204 @@ def test_packets(spark):
     assert [(r.event, r.text) for r in got] == [("token", "a"), ("done", None)]
 
 
-def test_sink_is_changed_only_and_replay_safe(spark, tmp_path):
-    schema = "scope string, id string, title string, digest string, status string, finish_reason string, rag_note string, source_count bigint, turn_count bigint, created_s bigint, updated_s bigint, fingerprint string"
-    row = lambda title, t: ("s", "1", title, "d", "done", "stop", "", 0, 1, t, t)
-    names = schema.rsplit(",", 1)[0]
-    s = sink.SessionSink(spark, str(tmp_path / "sessions"), schema)
-    s(spark.createDataFrame([row("a", 1)], names), 0)
-    s(spark.createDataFrame([row("a", 2)], names), 1)  # same content: not written
-    assert [(r.title, r.created_s, r.updated_s) for r in s.read().collect()] == [("a", 1, 1)]
-    s(spark.createDataFrame([row("b", 3)], names), 2)
-    s(spark.createDataFrame([row("c", 9)], names), 2)  # replayed batch number: ignored
-    assert [(r.title, r.created_s, r.updated_s) for r in s.read().collect()] == [("b", 1, 3)]
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_batch_fold_in_blocks(spark, block):
+    df = spark.createDataFrame(EVENTS + EVENTS[:4], SCHEMA)
+    assert facts(fold.fold_batch(df, block).collect()) == WANT
+
+
+def stream_of(spark, path, batches, schema):
+    """A stream that reads one frame a batch, in turn."""
+    for i, rows in enumerate(batches):
+        where = f"{path}/{i:03d}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(where)
+        for file in os.listdir(where):
+            if file.endswith(".parquet"):
+                os.utime(f"{where}/{file}", (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def updates_of(spark, frame, mode):
+    """The rows of every batch."""
+    seen = {}
+
+    def write(batch, i):
+        seen.setdefault(i, []).extend(batch.collect())
+
+    stream_queries.run_to_end(spark, frame, mode, write)
+    return [row for i in sorted(seen) for row in seen[i]]
+
+
+EVENT = "scope string, kind string, request_id bigint, seq bigint, body string"
+
+
+def test_latest_request_on_a_stream(spark, tmp_path):
+    batches = [
+        [("a", "request", 1, 1, None), ("a", "answer", 1, None, "old"), ("b", "answer", 7, None, "early"), ("c", "request", 1, 5, None)],
+        [("a", "request", 2, 2, None), ("a", "answer", 1, None, "too late"), ("b", "request", 7, 3, None), ("c", "request", 9, 5, None)],
+        [("a", "answer", 2, None, "new"), ("a", "answer", 2, None, "new too"), ("b", "request", 6, 2, None), ("c", "answer", 1, None, "lost")],
+        [("b", "answer", 6, None, "superseded"), ("d", "answer", 1, None, "no request")],
+    ]
+    found = updates_of(spark, requests.latest_requests_stream(stream_of(spark, str(tmp_path), batches, EVENT), None), "update")
+    told = [(r.scope, r.request_id, r.body) for r in found if r.answered]
+    assert sorted(told) == [("a", 1, "old"), ("a", 2, "new"), ("a", 2, "new too"), ("b", 7, "early")]
+    shape = "scope string, request_id bigint, seq bigint, body string, answered boolean"
+    last = requests.settled(spark.createDataFrame(found, shape)).collect()
+    assert sorted((r.scope, r.body) for r in last) == [("a", "new"), ("a", "new too"), ("b", "early")]  # c: the newest request has no answer
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_latest_request_in_any_order(spark, tmp_path, seed):
+    """The stream settles on what the batch job gives, whatever comes first."""
+    dice = random.Random(seed)
+    asked = [(s, "request", 10 * k + i, k, None) for i, s in enumerate("abcd") for k in range(6)]
+    told = [(s, "answer", q, k if dice.random() < 0.5 else None, f"{s}{q}") for s, _, q, k, _ in asked if dice.random() < 0.8]
+    rows = asked + told
+    dice.shuffle(rows)
+    batches = [b for b in (rows[i::4] for i in range(4)) if b]
+    found = updates_of(spark, requests.latest_requests_stream(stream_of(spark, str(tmp_path), batches, EVENT), None), "update")
+    shape = "scope string, request_id bigint, seq bigint, body string, answered boolean"
+    last = {(r.scope, r.request_id, r.body) for r in requests.settled(spark.createDataFrame(found, shape)).collect()}
+    both = spark.createDataFrame(rows, EVENT)
+    want = debounce.latest_requests(both.where("kind = 'answer'").drop("kind", "seq"), both.where("kind = 'request'").drop("kind", "body"))
+    assert last == {(r.scope, r.request_id, r.body) for r in want.collect()}
+
+
+def test_superseded_rows_leave_before_the_shuffle():
+    schema = pa.schema([("scope", pa.string()), ("kind", pa.string()), ("seq", pa.int64())])
+    batch = pa.RecordBatch.from_pylist([{"scope": "a", "kind": "request", "seq": k} for k in range(5)] + [{"scope": "a", "kind": "answer", "seq": s} for s in (3, 4, None)], schema)
+    (left,) = requests.drop_superseded([batch])
+    assert left.column("seq").to_pylist() == [4, 4, None]
+
+
+def test_early_answers_expire(spark):
+    """An answer whose request does not come is dropped by the timer; one that still may be met stays."""
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        exists = lambda self: self.v is not None
+        get = lambda self: self.v
+
+        def update(self, v):
+            self.v = v
+
+    class Map(dict):
+        containsKey, getValue, updateValue = dict.__contains__, dict.get, dict.__setitem__
+        iterator = dict.items
+
+        def removeKey(self, k):
+            self.pop(k, None)
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        getValueState = lambda self, *a: Value()
+        getMapState = lambda self, *a: Map()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentProcessingTimeInMs = lambda: ms
+
+    handle, state = Handle(), requests.NewestRequest("bigint", 100)
+    state.init(handle)
+    frame = lambda q: pd.DataFrame({"kind": ["answer"], "request_id": [q], "numbered": [False], "seq": [0], "body": ["x"]})
+    assert not list(state.handleInputRows(("a",), iter([frame(1)]), Now(0))) and handle.timers == [100]
+    assert not list(state.handleInputRows(("a",), iter([frame(2)]), Now(60))) and handle.timers == [100]
+    handle.timers.clear()
+    assert not list(state.handleExpiredTimer(("a",), Now(100), None)) and handle.timers == [160] and list(state._early) == [(2,)]
+
+
+BODY = 'event: meta\r\ndata: {"rag_note":"né€"}\r\n\r\n: ping\n\n\n\nevent: token\ndata: {"text":\ndata: "😀"}\n\ndata: {bad\n\nevent: done\ndata: {}\r\n\r\nevent: token\ndata: {"text":"cut"}'
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_bodies_cut_at_any_byte(spark, tmp_path, seed):
+    """Pieces out of order, some twice; characters and line ends are cut too. All give the packets of the whole body."""
+    dice, schema = random.Random(seed), "stream_id bigint, piece bigint, body binary"
+    rows, bodies = [], {}
+    for stream in range(5):
+        body = (BODY * dice.randint(1, 3)).encode() + (b"\xff\n\n" if stream == 4 else b"")
+        bodies[stream] = body
+        cuts = sorted({0, len(body), *(dice.randrange(len(body)) for _ in range(dice.choice([0, 3, 60])))})
+        pieces = [(stream, i, body[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+        rows += pieces + [p for p in pieces if dice.random() < 0.3]
+    dice.shuffle(rows)
+    found = updates_of(spark, packets.cut_pieces(stream_of(spark, str(tmp_path), [b for b in (rows[i::3] for i in range(3)) if b], schema)), "append")
+    for stream, body in bodies.items():
+        whole = [p.strip() for p in body.decode(errors="replace").replace("\r", "").split("\n\n")[:-1]]
+        got = sorted((r.seq, r.packet) for r in found if r.stream_id == stream)
+        assert got == list(enumerate([p for p in whole if p], 1))
+
+
+def test_kept_numbers_leave_no_gap(spark):
+    df = spark.createDataFrame([(1, i, p) for i, p in enumerate(["data: {}", ": ping", "data: {bad", "event: done\ndata: {}"])], "stream_id int, seq int, packet string")
+    kept = packets.parse_packets(df, keep_numbers=True).orderBy("seq").collect()
+    assert [(r.seq, r.event) for r in kept] == [(0, "message"), (1, None), (2, None), (3, "done")]
+
+
+ROW = "scope string, id string, title string, digest string, status string, finish_reason string, rag_note string, source_count bigint, turn_count bigint, created_s bigint, updated_s bigint"
+STORED = ROW + ", fingerprint string"
+
+
+def version(scope, i, title, at, note=None):
+    return scope, i, title, "d", "done", "stop", note, None, 1, at, at
+
+
+def test_only_changes_pass(spark, tmp_path):
+    batches = [
+        [version("s", "1", "a", 1), version("s", "1", "b", 3), version("s", "2", "x", 1)],
+        [version("s", "1", "b", 4), version("s", "1", "a", 2), version("s", "2", "x", 5, "note")],  # the same, an old one, another note
+        [version("s", "1", "c", 9), version(None, "1", "c", 9), version("s", None, "c", 9)],
+    ]
+    found = updates_of(spark, sink.changed_stream(stream_of(spark, str(tmp_path), batches, ROW)), "update")
+    assert [(r.id, r.title, r.updated_s, r.rag_note) for r in sorted(found, key=lambda r: (r.updated_s, r.id))] == [
+        ("2", "x", 1, None), ("1", "b", 3, None), ("2", "x", 5, "note"), ("1", "c", 9, None)]
+
+
+def files_of(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_writer_touches_only_changed_buckets(spark, tmp_path):
+    path = str(tmp_path / "sessions")
+    write = sink.session_writer(path, STORED, buckets=8, keep=2)
+    batch = lambda *rows: spark.createDataFrame(rows, ROW)
+    table = lambda: sorted((r.scope, r.id, r.title, r.created_s, r.updated_s) for r in sink.read_sessions(spark, path, STORED).collect())
+    assert table() == []
+    write(batch(*[version(f"s{k}", "1", "a", 1) for k in range(20)]), 0)
+    before, first = files_of(path), table()
+    assert len(first) == 20 and len(before) <= 8
+    write(batch(version("s3", "1", "a", 7)), 1)  # the same content: no file is written
+    write(batch(), 2)
+    assert files_of(path) == before and table() == first
+    write(batch(version("s3", "1", "b", 8)), 3)
+    after = files_of(path)
+    assert len(before - after) == 1 and ("s3", "1", "b", 1, 8) in table()
+    write(batch(version("s3", "1", "b", 8)), 3)  # the batch again: nothing changes
+    assert files_of(path) == after
+    write(batch(version("s3", "1", "a", 2)), 4)  # older than what is stored
+    assert files_of(path) == after
+    write(batch(version("s3", "2", "n", 9), version("s3", "3", "n", 10)), 5)  # the cap leaves the newest two
+    assert [r[1] for r in table() if r[0] == "s3"] == ["2", "3"]
+
+
+def test_interrupted_write_is_finished(spark, tmp_path):
+    """The new content was complete beside the table when the batch failed: the same batch copies it."""
+    path = str(tmp_path / "sessions")
+    write = sink.session_writer(path, STORED, buckets=4)
+    write(spark.createDataFrame([version("a", "1", "old", 1)], ROW), 0)
+    stored = sink.read_sessions(spark, path, STORED)
+    stored.withColumns({"title": F.lit("new"), "batch_id": F.lit(1)}).write.parquet(f"{path}_next")
+    for file in files_of(path):
+        os.remove(file)  # the copy had begun
+    write(spark.createDataFrame([version("a", "1", "ignored", 5)], ROW), 1)
+    assert [r.title for r in sink.read_sessions(spark, path, STORED).collect()] == ["new"] and not os.path.exists(f"{path}_next")
 
 
 @pytest.mark.parametrize("gap,periods", [("250 milliseconds", 3), ("1 second", 2)])
