@@ -6,6 +6,7 @@ single longer row, so memory in a task depends on the longest text and not on th
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.session import staged
+from docketry.session import discard, staged
 
 BLOCK = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,6 +133,29 @@ def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+_FRONT = np.array([0] + [((1 << (8 * n)) - 1) << (64 - 8 * n) for n in range(1, 9)], np.uint64)
+#: Bytes of a word that are mixed eight at a time; what follows in a longer word is digested as a whole.
+PRINTED = 256
+
+
+def word_prints(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, where no sum of byte values can cancel out: eight bytes at a time are mixed in turn."""
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)
+    out = mix((e - s).astype(np.uint64) + BASE)
+    active = np.arange(len(s))
+    for done in range(0, PRINTED, 8):
+        active = active[e[active] - s[active] > done]
+        if not len(active):
+            return out
+        at = s[active] + done
+        chunk = view[at].view(">u8").ravel().astype(np.uint64) & _FRONT[np.minimum(e[active] - at, 8)]
+        out[active] = mix(out[active] * U64(3) + chunk)
+    for i in active[e[active] - s[active] > PRINTED]:
+        rest = hashlib.blake2b(buf[s[i] + PRINTED : e[i]].tobytes(), digest_size=8).digest()
+        out[i] = mix(out[i : i + 1] * U64(3) + np.frombuffer(rest, np.uint64))[0]
+    return out
+
+
 def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``width``-word shingle hashes of each row, in row order, and the row limits in them.
 
@@ -193,8 +217,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         target = hooked.select(F.col("node").alias("t"), F.col("comp").alias("up"))
         jumped = staged(hooked.join(target, hooked.comp == target.t).select("node", F.least("comp", "up").alias("comp"), "was"), "jumped")
         moved = jumped.where("comp <> was").limit(1).count()
+        discard(labels, hooked)
         labels = jumped.select("node", "comp")
         if not moved:
+            discard(both)
             return labels
 
 

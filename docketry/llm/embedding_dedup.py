@@ -79,14 +79,18 @@ def cells_of(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach: float,
     return own, visits
 
 
-def _place(books: tuple[np.ndarray, np.ndarray], reach: float, recall: float):
+def _place(books: dict[int, tuple[np.ndarray, np.ndarray]], reach: float, recall: float):
+    """Cells by the books of a vector's length; vectors of a length that the sample lacks share one cell."""
+
     def run(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), 2048):
-                part = pdf.iloc[at : at + 2048]
-                if len(part):
-                    x = np.stack(part.unit.to_numpy()).astype(np.float64)
-                    own, visits = cells_of(x, books, reach, recall)
+            for size, same in pdf.groupby(pdf.unit.map(len)):
+                for at in range(0, len(same), 2048):
+                    part = same.iloc[at : at + 2048]
+                    if size in books:
+                        own, visits = cells_of(np.stack(part.unit.to_numpy()).astype(np.float64), books[size], reach, recall)
+                    else:
+                        own, visits = np.zeros(len(part), np.int64), [np.zeros(1, np.int64)] * len(part)
                     yield part.assign(cell=own.astype(np.int64), visits=visits)
 
     return run
@@ -133,8 +137,7 @@ def classes(
     """One row per row of ``table``: vec_id, n_links, component_id, kept.
 
     Vectors of one label that is not null link when their cosine is at least ``threshold``. Null and zero vectors, and
-    vectors with null, infinite or NaN components, link with nothing; so do vectors of another length than the
-    sample's most frequent one. ``sample`` bounds the vectors that train the codebooks (those with the smallest hashes);
+    vectors with null, infinite or NaN components, link with nothing; vectors of different lengths do not link. ``sample`` bounds the vectors that train the codebooks (those with the smallest hashes);
     all vectors are indexed and all are queries. ``words`` is the size of a codebook; by default it follows the number of
     vectors. Other columns are not read.
     """
@@ -147,6 +150,8 @@ def classes(
     scaled = F.transform("v", lambda x: x / F.col("peak"))
     rows = rows.withColumn("v", F.when(F.col("peak") > 0, scaled)).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     rows = rows.withColumn("unit", F.transform("v", lambda x: x / F.col("length")))
+    # vectors of one label and length are compared; the length ends the label, so no two pairs of them read the same
+    rows = rows.withColumn("label", F.concat("label", F.lit(":"), F.size("unit").cast("string")))
     rows = rows.withColumn("vec", F.when(F.col("unit").isNotNull(), F.xxhash64("label", "unit"))).select("vec_id", "label", "unit", "vec")
     rows = staged(rows, "vectors")
     own = rows.where("vec is not null").groupBy("vec").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
@@ -154,14 +159,14 @@ def classes(
     drawn = [r[0] for r in own.orderBy(F.xxhash64("vec")).limit(sample).select("unit").collect()]
     result = rows.select("vec_id", "vec")
     if drawn:
-        lengths, counts = np.unique([len(v) for v in drawn], return_counts=True)
-        size = int(lengths[counts.argmax()])
-        drawn = np.array([v for v in drawn if len(v) == size])
         if words is None:
             words = int(np.clip(np.sqrt(own.count() / CELL), 2, 256))
-        books = (train(drawn[:, : size // 2], words), train(drawn[:, size // 2 :], words))
+        books = {}
+        for size in {len(v) for v in drawn}:
+            same = np.array([v for v in drawn if len(v) == size])
+            books[size] = (train(same[:, : size // 2], words), train(same[:, size // 2 :], words))
         reach = 2 - 2 * threshold + 1e-9
-        placed = own.where(F.size("unit") == size).select("vec", "label", "unit", "copies").mapInPandas(
+        placed = own.select("vec", "label", "unit", "copies").mapInPandas(
             _place(books, reach, recall), "vec long, label string, unit array<double>, copies long, cell long, visits array<long>"
         )
         placed = staged(placed, "cells")

@@ -154,9 +154,12 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     dropped = classes(docs, doc_id, text)
     lost = dropped.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
     lost = small(staged(lost, "copies"))
-    sha = F.sha2(ascii_lower(F.col(f"`{text}`")).cast("binary"), 256)
-    keyed = docs.withColumns({"__id": F.col(f"`{doc_id}`"), "__sha": sha})
-    found = keyed.join(lost.select(F.col("doc_id").alias("__lid"), F.col("text_sha256").alias("__lsha"), F.col("kept").alias("__kept")), F.col("__sha").eqNullSafe(F.col("__lsha")) & F.col("__id").eqNullSafe(F.col("__lid")), "left")
-    alone = found.where("__kept is null").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = found.where("__kept").dropDuplicates(["__id", "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return alone.unionByName(repeated)
+    # the row travels in one struct, so no name of the table can clash with one of these
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    sha = F.sha2(ascii_lower(F.col(f"`{text}`")).cast("binary"), 256).alias("sha")
+    rows = docs.select(whole, F.col(f"`{doc_id}`").alias("id"), sha)
+    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha"), "kept")
+    found = rows.join(lost, F.col("sha").eqNullSafe(F.col("lost_sha")) & F.col("id").eqNullSafe(F.col("lost_id")), "left")
+    alone = found.where("kept is null").select("row")
+    repeated = found.where("kept").dropDuplicates(["id", "sha"]).select("row")
+    return alone.unionByName(repeated).select("row.*")

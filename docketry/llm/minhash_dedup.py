@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.llm.common import U64, ascii_lower, blocks, components, fixed_binary, mix, shingles, signed, small, word_bounds, word_hashes
+from docketry.llm.common import U64, ascii_lower, blocks, components, fixed_binary, mix, shingles, signed, small, word_bounds, word_prints
 from docketry.session import staged
 
 BANDS, ROWS = 24, 4
@@ -37,7 +37,7 @@ ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 def sets_of(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     s, e, row = word_bounds(buf, offs)
-    return shingles(word_hashes(buf, s, e), row, len(offs) - 1, width)
+    return shingles(word_prints(buf, s, e), row, len(offs) - 1, width)
 
 
 def node_ids(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -263,11 +263,33 @@ def classes(
     )
 
 
+def _with_node(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, offs in blocks(batch.column("norm")):
+                nodes = node_ids(*sets_of(buf, offs, width))
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), batch.column("id").slice(i, j - i), pa.array(signed(nodes), pa.int64())], ["row", "id", "node"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one document of each group: the one with the smallest id; all columns stay as they are.
 
-    Rows that repeat the kept id inside one group are all kept, for the id cannot tell them apart.
+    A row goes when its id and its own text's shingles are those of a row that is not kept, so another text under the
+    same id stays. Rows that repeat the kept id inside one group are all kept, for the id cannot tell them apart; in a group
+    without any id all rows stay.
     """
     found = classes(docs, doc_id, text, width, percent)
-    gone = small(staged(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
-    return docs.withColumn("__id", F.col(f"`{doc_id}`").cast("long")).join(gone, F.col("__id") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = staged(found.where("not kept").select(F.col("doc_id").alias("id"), "node").distinct(), "gone")
+    # the row travels in one struct, so no name of the table can clash with one of these
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, F.col(f"`{doc_id}`").cast("long").alias("id"), ascii_lower(F.col(f"`{text}`")).alias("norm"))
+    ids = small(gone.select(F.col("id").alias("gone_id")).distinct())
+    named = F.col("id").eqNullSafe(F.col("gone_id"))
+    clear = rows.join(ids, named, "left_anti").select("row")
+    kind = rows.select("row", "id").schema.add("node", "long")
+    doubted = rows.join(ids, named, "left_semi").mapInArrow(_with_node(width), kind)
+    out = small(gone.select(F.col("id").alias("gone_id"), F.col("node").alias("gone_node")))
+    stay = doubted.join(out, named & (F.col("node") == F.col("gone_node")), "left_anti").select("row")
+    return clear.unionByName(stay).select("row.*")

@@ -90,7 +90,8 @@ class Resampler:
 
     def _cut(self) -> float:
         """The k-th largest sampling key; k is the number of documents whose weight passes the best split of the labels."""
-        fit = self.scores.where("good is not null").select("log_weight", "good").collect()  # the bounded sample
+        # the bounded sample: one row for each labelled id, however often the id is in the table
+        fit = self.scores.where("good is not null").groupBy("doc_id", "good").agg(F.max("log_weight").alias("log_weight")).select("log_weight", "good").collect()
         goods = sum(g for _, g in fit)
         if not goods or goods == len(fit):
             return -np.inf

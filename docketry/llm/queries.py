@@ -111,7 +111,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of documents covered by 400-byte strings that start elsewhere too."""
-    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), min_bytes=400).drop("spans")
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), min_bytes=400)
 
 
 @query

@@ -26,9 +26,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, LongType, StructType
 
 from docketry.llm.common import BYTE, U64, blocks, mix, powers, signed
-from docketry.session import staged
+from docketry.session import discard, staged
 
 GRAM = 32
 #: Bytes of a text that are hashed at once; longer texts are read in overlapping pieces.
@@ -80,7 +81,10 @@ def runs(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ..
     stop[:-1] = new[1:] | ~valid[1:]
     last = np.flatnonzero(stop & valid)
     m = anchor[first]
-    return row[first], first, last, m, gram[m], _hash(prefix, first, last + length)
+    data = buf.tobytes()
+    # sums modulo 2**64 may cancel out; what is removed without another look needs a real digest
+    whole = b"".join([hashlib.blake2b(data[a : b + length], digest_size=8).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+    return row[first], first, last, m, gram[m], np.frombuffer(whole, np.uint64)
 
 
 def _find(length: int):
@@ -245,14 +249,12 @@ def _refine(length: int, step: int):
             out: dict[str, list] = {k: [] for k in names}
             for r in batch.to_pylist():
                 body, left, low = r["body"], r["anchor"] - r["first"], r["anchor"] - r["last"]
-                data = np.frombuffer(body, np.uint8)
-                prefix = _prefix(data)
                 for b in range(low // step, left // step + 1):
                     far, near = min(left, b * step + step - 1), max(low, b * step)
                     # common to all strings that begin b*step .. b*step+step-1 bytes before the anchor
                     lo, hi = left - b * step, left - (b * step + step - 1) + length
-                    core = _hash(prefix, np.array([lo]), np.array([hi]))[0]
-                    key = mix(np.array([(int(core) * 31 + b + r["key"]) & ((1 << 64) - 1)], np.uint64))
+                    core = int.from_bytes(hashlib.blake2b(body[lo:hi], digest_size=8).digest(), "little")
+                    key = mix(np.array([(core * 31 + b + r["key"]) & ((1 << 64) - 1)], np.uint64))
                     for k in names:
                         out[k].append(r[k])
                     out["key"][-1] = int(signed(key)[0])
@@ -275,13 +277,14 @@ def intervals(docs: DataFrame, length: int, hot_runs: int = HOT_RUNS) -> DataFra
     )
     every = staged(found, "runs")
     shared = staged(every.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram"), "anchors")
-    every = staged(every.join(shared, "gram", "left_semi"), "shared_runs")
+    found, every = every, staged(every.join(shared.hint("merge"), "gram", "left_semi"), "shared_runs")
+    discard(found, shared)
     place = F.struct("doc_id", "print", "first", "last", "anchor")
     distinct = staged(every.groupBy("run", "gram").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("at")).select("run", "gram", "m", "at.*"), "distinct_runs")
 
     # whole runs that occur twice
     twice = staged(distinct.where("m > 1").select("run", "gram", F.col("doc_id").alias("d0"), F.col("print").alias("p0"), F.col("first").alias("f0")), "twice")
-    again = every.join(twice, ["run", "gram"]).select(
+    again = every.join(twice.hint("merge"), ["run", "gram"]).select(
         "doc_id", "print", F.col("first").alias("lo"), F.col("last").alias("hi"),
         (~((F.col("doc_id") == F.col("d0")) & (F.col("print") == F.col("p0")) & (F.col("first") == F.col("f0")))).alias("later"),
     )
@@ -377,16 +380,20 @@ def _apply(length: int, whole_characters: bool):
 
 
 def _with_intervals(docs: DataFrame, doc_id: str, text: str, length: int, earlier: bool, hot_runs: int) -> DataFrame:
-    """``docs`` with ``__id``, ``__print``, ``__text`` and the list ``__found`` of repeated starts."""
+    """``row`` (a struct c0, c1, ... of all columns of ``docs``, so that no name can clash), ``text`` and the list ``found`` of repeated starts."""
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))), "__print": F.xxhash64(t), "__text": t})
-    found = intervals(keyed.select(F.col("__id").alias("doc_id"), F.col("__print").alias("print"), F.col("__text").alias("text")), length, hot_runs)
+    keyed = docs.select(whole, F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(t).alias("print"), t.alias("text"))
+    found = intervals(keyed.select("doc_id", "print", "text"), length, hot_runs)
     found = found.where(F.col("earlier") == F.lit(earlier)).groupBy(F.col("doc_id").alias("fid"), F.col("print").alias("fprint"))
-    found = staged(found.agg(F.collect_set(F.struct("lo", "hi")).alias("__found")), "repeated")
-    return keyed.join(found, (F.col("__id") == F.col("fid")) & (F.col("__print") == F.col("fprint")), "left").drop("fid", "fprint")
+    found = staged(found.agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "repeated")
+    return keyed.join(found, (F.col("doc_id") == F.col("fid")) & (F.col("print") == F.col("fprint")), "left").select("row", "text", "found")
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<start:long,end:long>>"
+def _result(doc_id: DataType) -> StructType:
+    spans = StructType().add("start", "long").add("end", "long")
+    kind = StructType().add("doc_id", doc_id).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    return kind.add("kept_sha256", "string").add("kept_text", "string").add("spans", ArrayType(spans))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = 400, earlier: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -397,17 +404,17 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_byt
     equal in id and text are copies of each other, but have one place (so ``earlier`` keeps both). Other columns are not
     read.
     """
-    found = _with_intervals(docs, doc_id, text, min_bytes, earlier, hot_runs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), "__text", "__found")
-    return found.mapInArrow(_apply(min_bytes, False), RESULT).drop("kept_text")
+    named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    found = _with_intervals(named, "doc_id", "text", min_bytes, earlier, hot_runs).select(F.col("row.c0").alias("doc_id"), "text", "found")
+    return found.mapInArrow(_apply(min_bytes, False), _result(LongType())).drop("kept_text")
 
 
 def drop_later_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = 400, hot_runs: int = HOT_RUNS) -> DataFrame:
     """``docs`` with later copies cut out of ``text``, whole characters only; all other columns and rows stay as they are."""
     found = _with_intervals(docs, doc_id, text, min_bytes, True, hot_runs)
-    rest = [c for c in docs.columns if c != text]
-    same = found.where("__found is null").select(*[F.col(f"`{c}`") for c in docs.columns])
-    # the text goes through the kernel with the other columns held in one struct beside it
-    cut = found.where("__found is not null").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc_id"), "__text", "__found")
-    kind = cut.schema["doc_id"].dataType.simpleString()
-    out = cut.mapInArrow(_apply(min_bytes, True), RESULT.replace("doc_id long", f"doc_id {kind}", 1))
-    return same.unionByName(out.select(*[(F.col("kept_text") if c == text else F.col("doc_id")[c]).alias(c) for c in docs.columns]))
+    same = found.where("found is null").select("row")
+    # the text goes through the kernel with the row beside it
+    cut = found.where("found is not null").select(F.col("row").alias("doc_id"), "text", "found")
+    out = cut.mapInArrow(_apply(min_bytes, True), _result(cut.schema["doc_id"].dataType))
+    fresh = F.struct(*[(F.col("kept_text") if c == text else F.col(f"doc_id.c{i}")).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    return same.unionByName(out.select(fresh)).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -6,7 +6,7 @@ word, the word before and the word after (those known from training), and the tr
 every token's marginal; the largest logit and the expected number of toxic tokens of a text are turned into its score by
 a small logistic regression, and tokens with marginal 1/2 or more are the offending spans.
 
-Training reads a bounded sample of labelled rows (``TRAIN`` of each class), with their whole texts.
+Training reads a bounded sample of labelled rows (``TRAIN`` of each class), of each the first ``TRAIN_CHARS`` characters.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from docketry.llm.common import KINDS, TO_LOWER, U64, blocks, class_bounds, mix,
 from docketry.session import staged
 
 TRAIN = 1500
+#: Characters of a training text that are read, so that the sample is bounded in bytes too; scores read whole texts.
+TRAIN_CHARS = 100_000
 #: Training texts that hold a word, for it to be known at all, and tokens beside it, for it to count as a neighbour.
 KNOWN = 3
 COMMON = 50
@@ -276,6 +278,6 @@ def score(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     drawn, share = training_rows(rows, labels, F.lit(True) if usable is None else usable, limit)
     # a repeated id brings more texts; the bound holds for them too, in a fixed order
-    drawn = drawn.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * limit).collect()
+    drawn = drawn.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * limit).withColumn("text", F.left("text", F.lit(TRAIN_CHARS))).collect()
     field = fit([r["text"] for r in drawn], [r["toxic"] for r in drawn], share)
     return rows.mapInArrow(_apply(field), "doc_id long, score double, spans array<struct<start:long,end:long,marginal:double>>")
