@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import numpy as np
 
@@ -34,6 +35,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _known_words() -> re.Pattern:
+    """WORD_PATTERN over the known characters, lower-cased, with their letters and numbers written out."""
+    kinds: dict[str, list[str]] = {"L": [], "N": []}
+    for c in map(chr, range(KNOWN + 1)):
+        kinds.get(unicodedata.category(c)[0], []).append(re.escape(c))
+    letters, numbers, blanks = "".join(kinds["L"]), "".join(kinds["N"]), "\t-\r \x85\xa0"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+")
+
+
 class Bpe:
     """Ids of one tokenizer file."""
 
@@ -92,11 +102,23 @@ class Bpe:
         self.ids = np.array(ids, np.uint32)
         pattern = r"[^\x00]+\x00" if word else BYTE_PATTERN
         self.encoder = tiktoken.Encoding(self.layout, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.words = regex.compile(WORD_PATTERN)
+        self.words, self.known_words = regex.compile(WORD_PATTERN), _known_words()
 
     def _exact(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _words(self, text: str) -> list[str] | None:
+        """Lower-case words of a text of known characters, else None."""
+        if text.isascii():
+            return self.known_words.findall(text.lower())
+        if OTHER.search(text):
+            return None
+        if "\u03a3" in text:  # its lower case depends on the place in the word for one library, not for the other
+            low = self.tokenizer.normalizer.normalize_str(text)
+        else:
+            low = unicodedata.normalize("NFC", text).lower()
+        return (self.words if OTHER.search(low) else self.known_words).findall(low)
+
     def encode(self, text: str) -> np.ndarray:
         """Ids as unsigned 32-bit numbers."""
         if not text:
@@ -106,13 +128,9 @@ class Bpe:
         if self.layout == "word":
             if "\0" in text:
                 return self._exact(text)
-            if text.isascii():
-                text = text.lower()
-            elif not OTHER.search(text):
-                text = self.tokenizer.normalizer.normalize_str(text)
-            else:
+            words = self._words(text)
+            if words is None:
                 return self._exact(text)
-            words = self.words.findall(text)
             if not words:
                 return np.zeros(0, np.uint32)
             text = "\0".join(words) + "\0"

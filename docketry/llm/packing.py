@@ -27,7 +27,7 @@ DIMS, BITS = 4, 10
 #: Text bytes of a range, about; a range leaves at most one sequence unfilled. Beyond MAX_RANGES ranges they grow.
 RANGE_BYTES, MAX_RANGES = 32 << 20, 1 << 16
 #: Rows drawn for the borders: about SAMPLES for each range, MAX_SAMPLES in all (24 bytes each, on the driver).
-SAMPLES, MAX_SAMPLES = 256, 1 << 22
+SAMPLES, MAX_SAMPLES = 64, 1 << 22
 
 
 def vectors(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
