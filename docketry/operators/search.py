@@ -15,6 +15,8 @@ from docketry.operators.blocks import salted_join, substring_pairs
 FILTERS = ("q", "category", "article", "keyword", "infraction_type", "jurisdiction", "document_id")
 ADVANCED = ("article", "keyword", "infraction_type", "jurisdiction", "category", "document_id")
 SNIPPET = 240
+#: Query words of a batch (a search and a word each) that are sent to every task at most.
+SENT_WORDS = 200_000
 
 
 def clean_requests(requests: DataFrame) -> DataFrame:
@@ -67,13 +69,17 @@ def distinct_searches(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 def matching_chunks(searches: DataFrame, chunks: DataFrame, index: DataFrame | None = None, kinds=None) -> DataFrame:
     """F8: (search, doc_id, chunk_id, pos, page_start, score) of every matching chunk.
 
-    An equality join of chunk words and query words; frequent words are spread over tasks. Only the
+    An equality join of chunk words and query words. A batch of up to ``SENT_WORDS`` query words goes to the index,
+    which then is not shuffled; beyond that both are, and frequent words are spread over tasks. Only the
     searches with an article text look at chunk texts again, and only at chunks that matched.
     """
     index = index_chunks(chunks) if index is None else index
     kinds = search_kinds(searches) if kinds is None else kinds
     terms = searches.select("search", F.explode("terms").alias("word"))
-    hits = salted_join(index, terms, "word", "chunk_id")
+    if kinds.words <= SENT_WORDS:
+        hits = index.join(F.broadcast(terms), "word")
+    else:
+        hits = salted_join(index, terms, "word", "chunk_id")
     keys = ["search", "doc_id", "chunk_id", "pos", "page_start"]
     scored = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("score"))
     bodies = chunks.select("chunk_id", fold_catalog("text").alias("_body"))
@@ -89,7 +95,7 @@ def matching_chunks(searches: DataFrame, chunks: DataFrame, index: DataFrame | N
 
 
 def search_kinds(searches: DataFrame):
-    """Which kinds of searches a batch holds: one row over the distinct searches.
+    """Which kinds of searches a batch holds, and how many words: one row over the distinct searches.
 
     Decides which branches the plan gets, so that a usual batch reads the corpus once.
     """
@@ -102,6 +108,7 @@ def search_kinds(searches: DataFrame):
         some(worded & article).alias("limited"),
         some(~worded & article).alias("article_only"),
         some(~worded & ~article).alias("listing"),
+        F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("words"),
     ).first()
 
 

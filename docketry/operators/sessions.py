@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.jsontext import kind, member, members, scalar_text, strict_json
@@ -126,6 +126,11 @@ def fingerprint(*cols) -> Column:
     return F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])), 256)
 
 
+#: Positions of a stored segment.
+SEGMENT = 4096
+IDENTITY = ["user_id", "email", "display_name", "username"]
+
+
 def changed_only(log: DataFrame, keys: list[str], pos: str, columns: list[str]) -> DataFrame:
     """Rows of a log whose content differs from the row before of the same key."""
     marked = log.withColumn("_fp", fingerprint(*columns))
@@ -133,6 +138,15 @@ def changed_only(log: DataFrame, keys: list[str], pos: str, columns: list[str])
     return seen.where(~F.coalesce(F.get("_prev", F.lit(0)) == F.col("_fp"), F.lit(False))).drop("_fp", "_prev")
 
 
+def changed_identities(log: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """W9, identity form: rows of a sign-in log to register again, for one of four fields differs from the row before.
+
+    A row without a user is not registered and does not count as the row before.
+    """
+    signed_in = log.where(filled("user_id").isNotNull())
+    return changed_only(signed_in.withColumns({c: text(c) for c in IDENTITY}), keys, pos, IDENTITY)
+
+
 def history(turns: DataFrame, n: int = HISTORY_TURNS) -> DataFrame:
     """The up to ``n`` earlier questions of the session, oldest first, for every question."""
     asked = with_question(turns).withColumn("_q", text("question"))
@@ -226,15 +240,11 @@ def stored_status(c: Column) -> Column:
     return F.when(c.isin("error", "streaming"), c).otherwise("done")
 
 
-def session_payloads(turns: DataFrame, titles: DataFrame) -> DataFrame:
-    """The stored JSON of a session, exactly one document each.
-
-    Turns become JSON where they are and are joined block by block; only the finished document,
-    which is one value of the result, is ever whole in a task.
-    """
+def _stored_turn(turns: DataFrame) -> Column:
+    """A turn as it is stored."""
     blank = F.lit("")
     empty = F.array().cast("array<string>")
-    turn = F.struct(
+    return F.struct(
         F.coalesce(_optional(turns, "id").cast("string"), F.concat(F.lit("turn-"), F.col("pos").cast("string"))).alias("id"),
         F.coalesce("question", blank).alias("question"),
         F.nullif(_optional(turns, "display_question"), blank).alias("displayQuestion"),
@@ -245,11 +255,63 @@ def session_payloads(turns: DataFrame, titles: DataFrame) -> DataFrame:
         F.coalesce("rag_note", blank).alias("ragNote"),
         F.coalesce("finish_reason", blank).alias("finishReason"),
     )
+
+
+def session_payloads(turns: DataFrame, titles: DataFrame) -> DataFrame:
+    """The stored JSON of a session, exactly one document each.
+
+    Turns become JSON where they are and are joined block by block; only the finished document,
+    which is one value of the result, is ever whole in a task. A document must stay below 2 GB, Spark's limit
+    for a value; ``session_segments`` has no such limit.
+    """
     keys = ["scope", "session_id"]
-    listed = ordered_concat(turns.select(*keys, "pos", F.to_json(turn).alias("_turn")), keys, "pos", "_turn", "_turns", ",")
+    listed = ordered_concat(turns.select(*keys, "pos", F.to_json(_stored_turn(turns)).alias("_turn")), keys, "pos", "_turn", "_turns", ",")
+    return listed.join(_heads(titles), keys).select(
+        *keys, "title", F.concat("_head", F.lit(',"turns":['), "_turns", F.lit("]}")).alias("payload")
+    )
+
+
+def _heads(titles: DataFrame) -> DataFrame:
+    """Title of each session, and what stands before the turns of its document."""
     head = F.to_json(F.struct(F.lit(1).alias("version"), truncate_title("title").alias("title")))
-    body = F.concat(F.left("_head", F.length("_head") - 1), F.lit(',"turns":['), "_turns", F.lit("]}"))
-    return listed.join(titles.select(*keys, "title", head.alias("_head")), keys).select(*keys, "title", body.alias("payload"))
+    return titles.select("scope", "session_id", "title", F.left(head, F.length(head) - 1).alias("_head"))
+
+
+def session_segments(turns: DataFrame, block: int = SEGMENT) -> DataFrame:
+    """S10 in pages: the turns of a session as JSON lists of at most ``block`` positions each.
+
+    scope, session_id, segment, first_turn (turns before it), start (bytes of the turns before it, commas between), body.
+    A session of any length is as many rows as it needs; no task holds more than one of them.
+    """
+    keys = ["scope", "session_id"]
+    rows = turns.select(*keys, "pos", F.to_json(_stored_turn(turns)).alias("_turn"), F.floor(F.col("pos") / block).cast("bigint").alias("segment"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "_turn"))), lambda t: t["_turn"])
+    pages = rows.groupBy(*keys, "segment").agg(F.array_join(listed, ",").alias("_turns"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    return pages.select(
+        *keys,
+        "segment",
+        F.coalesce(F.sum("_n").over(before), zero).alias("first_turn"),
+        F.coalesce(F.sum(F.octet_length("_turns") + 1).over(before), zero).alias("start"),
+        F.concat(F.lit("["), "_turns", F.lit("]")).alias("body"),
+    )
+
+
+def export_segments(segments: DataFrame, titles: DataFrame) -> DataFrame:
+    """The one document of a session, joined from its segments only here."""
+    keys = ["scope", "session_id"]
+    inner = segments.select(*keys, "segment", F.substr("body", F.lit(2), F.length("body") - 2).alias("_turns"))
+    listed = ordered_concat(inner, keys, "segment", "_turns", "_all", ",")
+    return listed.join(_heads(titles), keys).select(*keys, "title", F.concat("_head", F.lit(',"turns":['), "_all", F.lit("]}")).alias("payload"))
+
+
+def restore_segments(segments: DataFrame) -> DataFrame:
+    """X13 from segments: the same turns as from the one document, without ever building it."""
+    items = F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>")
+    rows = segments.select("scope", "session_id", "first_turn", F.posexplode(items).alias("_i", "t"))
+    usable = (strip(scalar_text(F.col("t"), "$.question")) != "") | (strip(scalar_text(F.col("t"), "$.answer")) != "")
+    return _restored(rows.where(usable).withColumn("index", F.col("first_turn") + F.col("_i")), ["scope", "session_id"])
 
 
 def restorable(v: Column) -> Column:
@@ -269,17 +331,10 @@ def restorable(v: Column) -> Column:
     )
 
 
-def restore_turns(records: DataFrame) -> DataFrame:
-    """Turn rows from stored records; text that is no session becomes one turn.
-
-    Input: scope, session_id, question, answer, status, rag_note, finish_reason.
-    """
-    stored = text("answer")
-    parsed = records.withColumn("_v", F.when(stored.startswith("{"), strict_json(stored))).withColumn("_rows", restorable(F.col("_v")))
-    keys = ["scope", "session_id"]
-    exploded = parsed.where(F.size("_rows") > 0).select(*keys, F.inline("_rows"))
+def _restored(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Turn rows from stored turns ``t`` at ``index``."""
     t = F.col("t")
-    restored = exploded.select(
+    return rows.select(
         *keys,
         F.col("index").cast("bigint").alias("pos"),
         or_default(scalar_text(t, "$.id"), F.concat(F.lit("turn-restored-"), (F.col("index") + 1).cast("string"))).alias("id"),
@@ -292,6 +347,18 @@ def restore_turns(records: DataFrame) -> DataFrame:
         scalar_text(t, "$.ragNote").alias("rag_note"),
         scalar_text(t, "$.finishReason").alias("finish_reason"),
     )
+
+
+def restore_turns(records: DataFrame) -> DataFrame:
+    """Turn rows from stored records; text that is no session becomes one turn.
+
+    Input: scope, session_id, question, answer, status, rag_note, finish_reason.
+    """
+    stored = text("answer")
+    parsed = records.withColumn("_v", F.when(stored.startswith("{"), strict_json(stored))).withColumn("_rows", restorable(F.col("_v")))
+    keys = ["scope", "session_id"]
+    exploded = parsed.where(F.size("_rows") > 0).select(*keys, F.inline("_rows"))
+    restored = _restored(exploded, keys)
     plain = parsed.where((F.size("_rows") == 0) & ((text("question") != "") | (stored != ""))).select(
         *keys,
         F.lit(0).cast("bigint").alias("pos"),

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import catalog, search, sessions
+from docketry.operators import catalog, ingest, records, search, sessions
 from docketry.plans import flows
 from docketry.plans.catalog_queries import SEARCH, search_requests
 from docketry.plans.registry import query
-from docketry.plans.session_queries import FINAL, ROLLUP, W, turns_with_counts
+from docketry.plans.session_queries import FINAL, ROLLUP, W, consultations, turns_with_counts
+from docketry.plans.source_queries import BASE_URL, USED
+from docketry.plans.stream_queries import FOLD, _run_stream, as_stream, raw_packets
+from docketry.plans.template_queries import CATALOG, RECON, builtin_templates, stored_templates, upload_parts
+from docketry.session import shared_dir
 from docketry.sources import fixtures as fx
-from docketry.streaming import sink
+from docketry.sources import logs
+from docketry.streaming import fold, packets, sink
 
 
 LOGGED = f"""r AS ({ROLLUP}), m AS (SELECT scope, session_id AS id, title, turn_count, CASE WHEN session_id % 2 = 0 THEN created_s - 500 ELSE created_s END AS created_s,
@@ -96,3 +101,83 @@ def draft_review(spark, sf_dir):
     missing = F.lit('{"answer":"{\\"missing_items\\":[\\"Adresse\\"]}"}')
     bodies = c.select(F.col("c_custkey").alias("form_id"), F.when(F.col("c_custkey") % 5 == 0, missing).otherwise(draft).alias("body"))
     return flows.draft_review(fx.form_values(spark, sf_dir), bodies).documents.select("form_id", "kind", "text")
+
+
+@query(
+    "answer_links",
+    "X5 J5 P8 J1 P13",
+    f"""WITH linked AS (SELECT ts.* EXCLUDE (relative_path), k.relative_path, k.doc_id FROM v_turn_sources ts JOIN v_catalog k ON k.doc_id = (ts.session_id * 7 + ts.pos) % (SELECT count(*) FROM documents)),
+{USED.replace("FROM v_turn_sources ts", "FROM linked ts")}
+SELECT u.session_id, u.turn_pos, u.use_pos AS card_pos, u.source_mode, 120 AS score, k.doc_id FROM u JOIN v_catalog k ON k.relative_path = u.relative_path WHERE u.use_pos < 8""",
+    ("v_turns", "v_turn_sources", "v_catalog"),
+)
+def answer_links(spark, sf_dir):
+    """From answers to the documents behind their cards: used sources, cards, links."""
+    c = fx.catalog(spark, sf_dir)
+    n = c.agg(F.count(F.lit(1))).scalar()
+    paths = c.select("doc_id", F.col("relative_path").alias("path"))
+    s = fx.turn_sources(spark, sf_dir).withColumn("doc_id", (F.col("session_id") * 7 + F.col("pos")) % n).join(paths, "doc_id")
+    s = s.withColumn("relative_path", F.col("path")).drop("path", "doc_id")
+    found = flows.answer_sources(fx.turns(spark, sf_dir), s, c, BASE_URL)
+    return found.links.select("session_id", "turn_pos", "card_pos", "source_mode", F.col("score").cast("int").alias("score"), "doc_id")
+
+
+@query(
+    "user_dashboard",
+    "A1 T3 X20",
+    f"""WITH c AS ({ROLLUP}), n AS (SELECT scope, count(*) AS total FROM c GROUP BY scope), f AS (SELECT scope, count(*) AS files FROM v_file_changes GROUP BY scope)
+SELECT coalesce(n.scope, f.scope) AS scope, coalesce(total, 0) AS total, coalesce(files, 0) AS files, least(coalesce(total, 0), 8) AS recent FROM n FULL JOIN f ON f.scope = n.scope""",
+    ("v_turns", "v_turn_sources", "v_file_changes"),
+)
+def user_dashboard(spark, sf_dir):
+    files = records.normalize_files(fx.file_changes(spark, sf_dir))
+    numbers, newest = flows.user_dashboard(consultations(spark, sf_dir), files, fx.table(spark, sf_dir, "documents"), 1704200000)
+    shown = newest.groupBy("scope").agg(F.count(F.lit(1)).alias("recent"))
+    return numbers.join(shown, "scope", "left").select("scope", "total", "files", F.coalesce("recent", F.lit(0)).cast("bigint").alias("recent"))
+
+
+@query(
+    "searched_templates",
+    "P6 U1 F5 A3",
+    f"""WITH {CATALOG} SELECT scope, id, CAST(row_number() OVER (PARTITION BY scope ORDER BY lower(category), category, lower(name), name, pos) AS INTEGER) AS rank
+FROM tc WHERE domain = 'Commun' AND contains(lower(concat_ws(' ', name, description, domain, category, refs)), 'modele')""",
+)
+def searched_templates(spark, sf_dir):
+    found = flows.template_catalog(builtin_templates(spark, sf_dir), stored_templates(spark, sf_dir), " Modele ", "Commun")
+    return found.select("scope", "id", "rank")
+
+
+@query("ingest_report", "S7 J7 A6", f"WITH {RECON} SELECT batch_id, pos, name, file_id, outcome FROM rs", ("v_upload_rows",))
+def ingest_report(spark, sf_dir):
+    """Nested responses as they are logged, with the files that were chosen."""
+    files, uploaded, errors = upload_parts(spark, sf_dir)
+    up = F.struct("pos", F.struct("id", F.col("chunk_count").cast("string").alias("chunk_count")).alias("x"))
+    bad = F.struct("pos", F.struct("filename", "detail").alias("x"))
+    listed = lambda items: F.transform(F.array_sort(F.collect_list(items)), lambda r: r["x"])
+    a = uploaded.groupBy("batch_id").agg(listed(up).alias("uploaded"))
+    b = errors.groupBy("batch_id").agg(listed(bad).alias("errors"))
+    path = shared_dir(spark, "reports")
+    a.join(b, "batch_id", "full_outer").write.json(path)
+    return flows.ingest_report(logs.read_upload_responses(spark, path), files)[0]
+
+
+@query(
+    "streamed_answers",
+    "S6 ST1 ST2 ST3",
+    f"""WITH v AS (SELECT * EXCLUDE (m) FROM (SELECT *, max(seq) OVER (PARTITION BY stream_id) AS m FROM v_sse) WHERE seq < m AND seq % 10 NOT IN (7, 8, 9)),
+{FOLD.replace("FROM v_sse", "FROM v").replace("v.* FROM v v", "v.* FROM v")} SELECT * FROM fo""",
+    ("v_sse",),
+)
+def streamed_answers(spark, sf_dir):
+    """From bodies that arrive in pieces to finished turns: one stream cuts packets, the next one folds them."""
+    from docketry.operators.blocks import ordered_concat
+
+    joined = ordered_concat(raw_packets(spark, sf_dir), ["stream_id"], "seq", "packet", "body", "\n\n")
+    body, step = F.col("body").cast("binary"), F.lit(97)
+    pieces = joined.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.octet_length("body") / step).cast("int") - 1)))
+    pieces = pieces.select("stream_id", F.col("piece").cast("bigint").alias("piece"), F.substring(body, F.col("piece") * step + 1, step).alias("body"))
+    cut = packets.cut_pieces(as_stream(spark, pieces, 3, "stream_id", "piece"))
+    found = _run_stream(spark, cut, "append", "stream_id bigint, seq bigint, packet string").select("stream_id", "seq", "packet")
+    updates = _run_stream(spark, flows.stream_turns(as_stream(spark, found, 3, "seq")), "update", fold.OUTPUT)
+    turns = fold.close_open_turns(fold.latest_turns(updates)).where(F.col("last_seq") >= 0)
+    return turns.select("stream_id", "answer", "reasoning", "status", "finish_reason", "last_seq")

@@ -218,6 +218,26 @@ def changed_notes(spark, sf_dir):
     return sessions.changed_only(fx.note_changes(spark, sf_dir), ["scope"], "seq", ["notes"]).select("scope", "seq", "notes")
 
 
+IDENTITIES = """si AS (SELECT user_id % 50 AS client, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE 'u' || (user_id % 4) END AS user_id, event_type || '@x' AS email, CASE WHEN event_id % 3 = 0 THEN 'a|b' ELSE 'a' END AS display_name,
+  CASE WHEN event_id % 3 = 0 THEN 'c' ELSE 'b|c' END AS username FROM events)"""
+
+
+@query(
+    "changed_identities",
+    "W9",
+    f"""WITH {IDENTITIES}, s AS (SELECT * FROM si WHERE trim(user_id) <> ''),
+l AS (SELECT *, lag({{'u': user_id, 'e': email, 'd': display_name, 'n': username}}) OVER (PARTITION BY client ORDER BY seq) AS p FROM s)
+SELECT client, seq, user_id FROM l WHERE p IS NULL OR p.u <> user_id OR p.e <> email OR p.d <> display_name OR p.n <> username""",
+)
+def changed_identities(spark, sf_dir):
+    k = F.col("event_id")
+    log = fx.table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 50).alias("client"), k.alias("seq"), F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string"))).alias("user_id"),
+        F.concat("event_type", F.lit("@x ")).alias("email"), F.when(k % 3 == 0, "a|b").otherwise("a").alias("display_name"), F.when(k % 3 == 0, "c").otherwise("b|c").alias("username"),
+    )
+    return sessions.changed_identities(log, ["client"], "seq").select("client", "seq", "user_id")
+
+
 @query(
     "session_payload_restore",
     "S10 X13 P4",
@@ -244,6 +264,19 @@ def session_payload_restore(spark, sf_dir):
     )
 
 
+@query(
+    "session_segments_restore",
+    "S10 X13",
+    f"""SELECT scope, session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS BIGINT) AS pos, trim(question, {W}) AS question,
+  answer, status, rag_note, finish_reason FROM v_turns WHERE {FINAL}""",
+    ("v_turns",),
+)
+def session_segments_restore(spark, sf_dir):
+    """Sessions stored in segments of four positions and restored from them."""
+    pages = sessions.session_segments(sessions.finalized(fx.turns(spark, sf_dir)), 4)
+    return sessions.restore_segments(pages).select("scope", "session_id", "pos", "question", "answer", "status", "rag_note", "finish_reason")
+
+
 @query(
     "restored_plain_answers",
     "X13",

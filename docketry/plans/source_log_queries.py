@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import ingest, records
+from docketry.operators import catalog, ingest, records, sessions
 from docketry.plans.registry import query
+from docketry.plans.session_queries import FINAL, W
 from docketry.session import shared_dir
 from docketry.sources import fixtures as fx
 from docketry.sources import logs
@@ -92,3 +93,63 @@ def cleared_scope_log(spark, sf_dir):
     gone = f.where(F.col("scope") % 5 == 0).select("scope", "id").distinct()
     logs.write_files(records.remove_keys(f, gone), path, None, scopes=f)
     return logs.read_files(spark, path, None).select("scope", "id", "name", "size")
+
+
+@query(
+    "catalog_scan",
+    "S4",
+    """SELECT CAST(doc_id AS VARCHAR) AS id, title, doc_type, size FROM v_catalog WHERE category = '02 — Droit civil' AND doc_type = 'Loi'""",
+    ("v_catalog",),
+)
+def catalog_scan(spark, sf_dir):
+    """A stored catalog read with two filters, which reach the Parquet reader."""
+    path = shared_dir(spark, "catalog")
+    fx.catalog(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string")).write.parquet(path)
+    found = logs.read_documents(spark, path, category=" 02 — Droit civil", doc_type="Loi", id="")
+    return found.select("id", "title", "doc_type", F.col("size").cast("bigint").alias("size"))
+
+
+@query("chunk_scan", "S5", "SELECT chunk_id, page_start, length(text) AS chars FROM v_chunks", ("v_chunks",))
+def chunk_scan(spark, sf_dir):
+    path = shared_dir(spark, "chunks")
+    fx.chunks(spark, sf_dir).write.parquet(path)
+    return logs.read_chunks(spark, path).select("chunk_id", "page_start", F.length("text").alias("chars"))
+
+
+@query("model_bodies", "S8", "SELECT answer AS body, count(*) AS bodies FROM v_model_outputs GROUP BY answer", ("v_model_outputs",))
+def model_bodies(spark, sf_dir):
+    """Raw bodies, some of several lines, behind a separator of their own; blank ones between them are dropped."""
+    path, separator = shared_dir(spark, "bodies"), "\x1e"
+    fx.model_outputs(spark, sf_dir).select(F.concat("answer", F.lit(separator + " ")).alias("value")).write.option("lineSep", separator).text(path)
+    return logs.read_model_bodies(spark, path, separator).groupBy("body").agg(F.count(F.lit(1)).alias("bodies"))
+
+
+@query(
+    "url_log",
+    "S9 X22 P15",
+    """SELECT item_id AS request_id, trim(split_part(text, ' ', 2)) AS q, item_id % 3 + 1 AS page FROM benchmark""",
+)
+def url_log(spark, sf_dir):
+    """Library links written as a request log, read back and taken apart."""
+    path = shared_dir(spark, "urls")
+    r = fx.search_requests(spark, sf_dir)
+    link = catalog.build_query({"q": F.col("q"), "documentId": F.col("request_id").cast("string")})
+    r.select(F.concat(F.lit("https://library.example/bibliotheque"), link).alias("url"), F.lit(200).alias("status")).write.parquet(path)
+    found = catalog.parse_search_urls(logs.read_urls(spark, path))
+    number = F.col("document_id").cast("bigint")
+    return found.select(number.alias("request_id"), "q", (number % 3 + 1).alias("page"))
+
+
+@query(
+    "stored_payloads",
+    "S10 X13 S1 S2",
+    f"""SELECT CAST(scope AS VARCHAR) AS scope, CAST(session_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS BIGINT) AS pos, trim(question, {W}) AS question, answer, status
+ FROM v_turns WHERE {FINAL}""",
+    ("v_turns",),
+)
+def stored_payloads(spark, sf_dir):
+    """Session documents written as a log, read back and restored."""
+    t = fx.turns(spark, sf_dir)
+    path = shared_dir(spark, "payloads")
+    logs.write_payloads(sessions.session_payloads(sessions.finalized(t), sessions.roll_up(t)), path)
+    return sessions.restore_turns(logs.read_payloads(spark, path)).select("scope", "session_id", "pos", "question", "answer", "status")

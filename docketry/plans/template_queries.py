@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import field_key
 from docketry.operators import drafts, ingest, records, sessions, templates
+from docketry.plans import flows
 from docketry.plans.registry import query
 from docketry.plans.session_queries import W
 from docketry.sources import fixtures as fx
@@ -122,7 +123,7 @@ def fallback_kinds(spark, sf_dir):
 FROM pr""",
 )
 def ready_templates(spark, sf_dir):
-    t = templates.ingest(prompts(spark, sf_dir).select("request_id", "prompt", "body"))
+    t = flows.template_ingest(prompts(spark, sf_dir).select("request_id", "prompt", "body"))
     keys = F.array_join(F.transform("fields", lambda f: f["key"]), "|")
     return t.select("request_id", "name", "repair_stage", keys.alias("field_keys"), F.array_join("optional_fields", "|").alias("optional_fields"))
 

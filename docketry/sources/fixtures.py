@@ -28,6 +28,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def n_documents(spark: SparkSession, sf_dir: str):
+    """Number of documents, as a column: ids spread over all of them."""
+    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user question with the assistant answer that follows it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -67,7 +72,7 @@ def turn_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "turn_pos",
         "pos",
         F.when(F.col("pos") % 5 != 4, F.col("pos") + 1).alias("rank"),
-        F.when(F.col("pos") % 3 != 2, F.concat(F.lit("d"), ((F.col("session_id") * 7 + F.col("pos")) % 50).cast("string"))).alias("chunk_id"),
+        F.when(F.col("pos") % 3 != 2, F.concat(F.lit("d"), ((F.col("session_id") * 7 + F.col("pos")) % n_documents(spark, sf_dir)).cast("string"))).alias("chunk_id"),
         F.when(F.col("pos") % 4 == 0, "Jurisprudence/Bulletin.pdf")
         .when(F.col("pos") % 4 == 1, "codes/Code du travail.pdf")
         .when(F.col("pos") % 4 == 2, "Revue de doctrine.pdf")
@@ -89,7 +94,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("04 — OHADA")
         .alias("category"),
         F.when(F.col("doc_id") % 3 == 0, "Code").when(F.col("doc_id") % 3 == 1, "Loi").otherwise("Arrêté").alias("doc_type"),
-        F.substring("text", 1, 60).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         file_name.alias("file_name"),
         F.concat("lang", F.lit("/"), "source", F.lit("/"), file_name).alias("relative_path"),
         F.col("n_chars").alias("size"),
@@ -100,7 +105,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One citation per turn that points to a document in one of several spellings."""
     t = turns(spark, sf_dir).select("session_id", "pos")
     c = catalog(spark, sf_dir).select("doc_id", "relative_path", "file_name")
-    j = t.withColumn("doc_id", (F.col("session_id") * 31 + F.col("pos") * 7) % 200).join(c, "doc_id")
+    j = t.withColumn("doc_id", (F.col("session_id") * 31 + F.col("pos") * 7) % n_documents(spark, sf_dir)).join(c, "doc_id")
     k = (F.col("session_id") + F.col("pos")) % 7
     return j.select(
         "session_id",
@@ -256,7 +261,7 @@ FROM (SELECT conv_id, turn, role, text AS question,
         ("v_turns",),
         """SELECT t.session_id, t.pos AS turn_pos, s.n AS pos,
   CASE WHEN s.n % 5 = 4 THEN NULL ELSE s.n + 1 END AS rank,
-  CASE WHEN s.n % 3 = 2 THEN NULL ELSE concat('d', cast((t.session_id * 7 + s.n) % 50 AS varchar)) END AS chunk_id,
+  CASE WHEN s.n % 3 = 2 THEN NULL ELSE concat('d', cast((t.session_id * 7 + s.n) % (SELECT count(*) FROM documents) AS varchar)) END AS chunk_id,
   CASE s.n % 4 WHEN 0 THEN 'Jurisprudence/Bulletin.pdf' WHEN 1 THEN 'codes/Code du travail.pdf'
        WHEN 2 THEN 'Revue de doctrine.pdf' ELSE 'divers/note.pdf' END AS relative_path
 FROM v_turns t JOIN (VALUES (0),(1),(2),(3),(4),(5),(6)) AS s(n) ON s.n < (t.session_id + t.pos) % 8""",
@@ -267,7 +272,7 @@ FROM v_turns t JOIN (VALUES (0),(1),(2),(3),(4),(5),(6)) AS s(n) ON s.n < (t.ses
   CASE lang WHEN 'fr' THEN '02 — Droit civil' WHEN 'en' THEN '11 — Droit du travail'
             WHEN 'de' THEN '06 — Droit pénal' ELSE '04 — OHADA' END AS category,
   CASE doc_id % 3 WHEN 0 THEN 'Code' WHEN 1 THEN 'Loi' ELSE 'Arrêté' END AS doc_type,
-  substring(text, 1, 60) AS title, concat('Doc_', cast(doc_id AS varchar), '.pdf') AS file_name,
+  string_split(text, chr(10))[1] AS title, concat('Doc_', cast(doc_id AS varchar), '.pdf') AS file_name,
   concat(lang, '/', source, '/Doc_', cast(doc_id AS varchar), '.pdf') AS relative_path, n_chars AS size
 FROM documents""",
     ),
@@ -277,7 +282,7 @@ FROM documents""",
    WHEN 1 THEN concat('C:\data\', c.relative_path) WHEN 2 THEN concat('voir ', c.relative_path, ' p. 12')
    WHEN 3 THEN c.file_name WHEN 4 THEN concat('x/y/', c.file_name) ELSE NULL END AS source_path,
   CASE (t.session_id + t.pos) % 7 WHEN 5 THEN concat('ref ', c.file_name, ', pp. 3-4') ELSE 'Base documentaire' END AS meta
-FROM v_turns t JOIN v_catalog c ON c.doc_id = (t.session_id * 31 + t.pos * 7) % 200""",
+FROM v_turns t JOIN v_catalog c ON c.doc_id = (t.session_id * 31 + t.pos * 7) % (SELECT count(*) FROM documents)""",
     ),
     "v_chunks": (
         (),

@@ -1,7 +1,7 @@
 """Sources and sinks of the record tables.
 
-Tables are Parquet folders partitioned by ``scope``; a write replaces only the scopes it holds, and those
-named to it: a scope that became empty is stored as one row without an id, which no reader gives.
+Tables are Parquet folders in hash buckets of ``scope`` (``buckets``), however many scopes there are; a write replaces only
+the scopes it holds, and those named to it. A bucket that became empty holds one row without an id, which no reader gives.
 Schemas are given, never inferred, so a scan reads no more than the columns a query needs.
 """
 
@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from docketry import schemas
 from docketry.functions.text import text
 from docketry.operators import records
+from docketry.session import discard, staged
+from docketry.sources.buckets import BUCKET, bucket_of, read_buckets, replace_buckets, touched
 
 
 def read_log(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
     """A scoped record log; rows without an id are dropped."""
-    reader = spark.read.schema(schema)
-    return records.valid_ids(reader.parquet(path) if fmt == "parquet" else reader.format(fmt).load(path))
+    if fmt == "parquet":
+        return records.valid_ids(read_buckets(spark, path, schema).drop(BUCKET))
+    return records.valid_ids(spark.read.schema(schema).format(fmt).load(path))
 
 
 def read_consultations(spark: SparkSession, path: str, now, fmt: str = "parquet") -> DataFrame:
@@ -36,21 +39,24 @@ def read_templates(spark: SparkSession, path: str, now, fmt: str = "parquet") ->
 def write_log(df: DataFrame, path: str, scopes: DataFrame | None = None) -> None:
     """Write a normalised and capped log. The scopes present in ``df`` are replaced.
 
-    ``scopes`` (scope) lists further ones that this write speaks for: without rows they become empty.
-    Rows are sorted by scope inside every task, so a task has one open file at a time; a hot scope
-    is written by many tasks, not gathered into one.
+    ``scopes`` (scope) lists further ones that this write speaks for: without rows they become empty. Other scopes of
+    the same buckets are read and written again; buckets without any of these scopes are not touched.
     """
-    rows = df.withColumn("scope", F.col("scope").cast("string"))
+    spark = df.sparkSession
+    rows = staged(df.withColumn("scope", F.col("scope").cast("string")).withColumn(BUCKET, bucket_of("scope")), "log")
+    named = rows.select("scope", BUCKET)
     if scopes is not None:
-        named = scopes.select(F.col("scope").cast("string")).distinct()
-        rows = rows.unionByName(named.join(rows.select("scope"), "scope", "left_anti"), allowMissingColumns=True)
-    (
-        rows.sortWithinPartitions("scope")
-        .write.partitionBy("scope")
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .parquet(path)
-    )
+        named = named.union(scopes.select(F.col("scope").cast("string").alias("scope")).withColumn(BUCKET, bucket_of("scope")))
+    named = staged(named.distinct(), "scopes")
+    met = touched(named)
+    if not met:
+        return
+    old = read_buckets(spark, path, rows.drop(BUCKET).schema).where(F.col(BUCKET).isin(met)).alias("o")
+    kept = old.join(named.alias("n"), F.col("o.scope").eqNullSafe(F.col("n.scope")), "left_anti")
+    # a bucket without any row would keep its old files
+    marks = spark.createDataFrame([(b,) for b in met], f"{BUCKET} int")
+    replace_buckets(rows.unionByName(kept).unionByName(marks, allowMissingColumns=True), path)
+    discard(rows, named)
 
 
 def write_consultations(df: DataFrame, path: str, now, scopes: DataFrame | None = None) -> None:
@@ -110,9 +116,13 @@ def parse_upload_responses(bodies: DataFrame, column: str = "body") -> DataFrame
     return bodies.select(parsed.alias("r")).select("r.*").where(F.col("batch_id").isNotNull())
 
 
-def read_model_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """Raw response bodies, one per file, JSON or plain text."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("value").alias("body"), F.input_file_name().alias("request_id"))
+def read_model_bodies(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """Raw response bodies, JSON or plain text; blank ones are dropped.
+
+    One body in each file, or any number with a ``separator`` between them. ``request_id`` is the file's address.
+    """
+    reader = spark.read.option("lineSep", separator) if separator else spark.read.option("wholetext", "true")
+    raw = reader.text(path).select(F.col("value").alias("body"), F.input_file_name().alias("request_id"))
     return raw.where(text("body") != "")
 
 
@@ -122,5 +132,13 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_payloads(payloads: DataFrame, path: str) -> None:
-    """Stored session documents (``sessions.session_payloads``)."""
-    write_log(payloads, path)
+    """Stored session documents (``sessions.session_payloads``); ids become text."""
+    write_log(payloads.select("scope", F.col("session_id").cast("string").alias("id"), "title", "payload"), path)
+
+
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_payloads`` stored, in the shape of stored records (``sessions.restore_turns``)."""
+    stored = read_log(spark, path, "scope string, id string, title string, payload string")
+    blank = F.lit("")
+    return stored.select("scope", F.col("id").alias("session_id"), F.col("title").alias("question"), F.col("payload").alias("answer"),
+                         F.lit("done").alias("status"), blank.alias("rag_note"), blank.alias("finish_reason"))

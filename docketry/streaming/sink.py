@@ -7,7 +7,6 @@ read and rewritten, all others keep their files.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,10 +18,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from docketry.operators import records
 from docketry.operators.sessions import fingerprint
-from docketry.session import staged
+from docketry.session import discard, staged
+from docketry.sources.buckets import BUCKET, BUCKETS, bucket_of, read_buckets, replace_buckets, touched
 
 COMPARED = ["title", "digest", "status", "finish_reason", "rag_note", "source_count", "turn_count"]
-BUCKETS = 256
 # times keep their microseconds on the way through JSON
 MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
@@ -101,53 +100,27 @@ def changed_stream(incoming: DataFrame) -> DataFrame:
 
 def read_sessions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The saved records; an empty table before the first change."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], f"{schema}, bucket int")
-    return spark.read.schema(f"{schema}, bucket int").parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return read_buckets(spark, path, schema).drop(BUCKET)
 
 
 def session_writer(path: str, schema: str, buckets: int = BUCKETS, keep: int = records.KEEP_CONSULTATIONS) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps the table below ``path`` up to date.
 
-    ``schema``: the stored columns, ``fingerprint`` among them. The new content of the touched buckets is first written
-    beside the table, with the batch's number, and then replaces their partitions. A batch that is run again after a
-    failure copies that content again; one that had been finished finds no change and writes nothing.
+    ``schema``: the stored columns, ``fingerprint`` among them. Only buckets with a change are read and rewritten. A batch
+    that is run again finds no change and writes nothing; one that was cut off while writing is finished first.
     """
 
-    def bucket():
-        return F.pmod(F.xxhash64("scope"), F.lit(buckets)).cast("int")
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ahead = f"{path}_next"
-        if not _is_pending(spark, ahead, batch_id):
-            incoming = staged(batch.withColumn("bucket", bucket()), "incoming")
-            met = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]  # at most ``buckets``
-            if not met:
-                return
-            stored = read_sessions(spark, path, schema).where(F.col("bucket").isin(met))
-            changes = staged(changed_records(incoming, stored), "changes")
-            touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]
-            if not touched:
-                return
-            merged = merge(stored.where(F.col("bucket").isin(touched)).drop("bucket"), changes, keep).withColumn("bucket", bucket())
-            merged.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(ahead)
-        merged = spark.read.schema(f"{schema}, bucket int, batch_id bigint").parquet(ahead).drop("batch_id")
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-        where = spark._jvm.org.apache.hadoop.fs.Path(ahead)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        incoming = staged(batch.withColumn(BUCKET, bucket_of("scope", buckets)), "incoming")
+        met = touched(incoming)
+        if not met:
+            return
+        stored = read_buckets(batch.sparkSession, path, schema).where(F.col(BUCKET).isin(met))
+        changes = staged(changed_records(incoming, stored), "changes")
+        changed = touched(changes)
+        if changed:
+            merged = merge(stored.where(F.col(BUCKET).isin(changed)).drop(BUCKET), changes, keep)
+            replace_buckets(merged.withColumn(BUCKET, bucket_of("scope", buckets)), path)
+        discard(incoming, changes)
 
     return write
-
-
-def _is_pending(spark: SparkSession, ahead: str, batch_id: int) -> bool:
-    """Whether the content beside the table is complete and of this batch."""
-    if not _exists(spark, os.path.join(ahead, "_SUCCESS")):
-        return False
-    first = spark.read.parquet(ahead).select("batch_id").first()
-    return first is not None and first["batch_id"] == batch_id

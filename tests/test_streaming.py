@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.plans import stream_queries
+from docketry.sources import buckets
 from docketry.streaming import debounce, fold, packets, requests, sink
 
 SCHEMA = "stream_id bigint, seq bigint, event string, text string, note string, reason string, sources string"
@@ -263,16 +264,20 @@ def test_writer_touches_only_changed_buckets(spark, tmp_path):
 
 
 def test_interrupted_write_is_finished(spark, tmp_path):
-    """The new content was complete beside the table when the batch failed: the same batch copies it."""
+    """New content that was complete beside the table is put in its place; what was not complete is written anew."""
     path = str(tmp_path / "sessions")
     write = sink.session_writer(path, STORED, buckets=4)
     write(spark.createDataFrame([version("a", "1", "old", 1)], ROW), 0)
-    stored = sink.read_sessions(spark, path, STORED)
-    stored.withColumns({"title": F.lit("new"), "batch_id": F.lit(1)}).write.parquet(f"{path}_next")
+    stored = buckets.read_buckets(spark, path, STORED)
+    stored.withColumn("title", F.lit("new")).write.parquet(f"{path}_next")
     for file in files_of(path):
         os.remove(file)  # the copy had begun
-    write(spark.createDataFrame([version("a", "1", "ignored", 5)], ROW), 1)
     assert [r.title for r in sink.read_sessions(spark, path, STORED).collect()] == ["new"] and not os.path.exists(f"{path}_next")
+    stored = buckets.read_buckets(spark, path, STORED)
+    stored.withColumn("title", F.lit("cut off")).write.parquet(f"{path}_next")
+    os.remove(f"{path}_next/_SUCCESS")  # this one was not complete
+    write(spark.createDataFrame([version("a", "1", "newer", 5)], ROW), 1)
+    assert [r.title for r in sink.read_sessions(spark, path, STORED).collect()] == ["newer"]
 
 
 @pytest.mark.parametrize("gap,periods", [("250 milliseconds", 3), ("1 second", 2)])
