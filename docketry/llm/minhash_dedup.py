@@ -2,8 +2,9 @@
 
 1. Every text becomes a set of distinct word shingles; texts with one set share a node (their set's fingerprint).
 2. A node has ``bands * rows`` MinHash values. Nodes that agree on all rows of a band share a bucket.
-3. In every bucket one node, the pivot, is paired with the others, so a bucket of m nodes gives m - 1 pairs. Where the
-   links found leave a bucket in several components, its nodes of different components are paired if they still can
+3. In every bucket one node is the pivot. A node is first paired with the heaviest of its pivots alone, and then, in buckets
+   that the links found leave in several components, with each bucket's pivot, so a bucket of m nodes gives at most m - 1
+   pairs. Where several components are left even then, nodes of different components are paired if they still can
    link: both were measured against the pivot, so what they can share inside the pivot is bounded, and what they share
    beyond it they meet by. A pair is only left out when its ends are connected already or cannot link.
 4. Pairs compare their signatures batch by batch; a pair goes when the posterior probability that its similarity
@@ -25,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.llm.common import U64, ascii_lower, blocks, components, fixed_binary, mix, shingles, signed, small, word_bounds, word_prints
-from docketry.session import staged
+from docketry.session import discard, staged
 
 BANDS, ROWS = 24, 4
 MISS = 1e-6
@@ -203,38 +204,24 @@ class _Links:
         return staged(full.mapInArrow(_verify(self.width, self.percent), "x long, y long, common long, linked boolean, outside array<long>"), "verified")
 
 
-def classes(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, miss: float = MISS
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, node.
+def _edges(checked: DataFrame) -> DataFrame:
+    return checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    Texts are lower-cased (A-Z) and cut into words at spaces and 0x09-0x0D; a text with fewer than ``width`` words has
-    its whole sequence as its one shingle. Sets link when 100 * intersection >= percent * union. Null, empty and
-    blank texts have no shingles and link with nothing. ``component_id`` is the smallest id that links reach; a row
-    with a null id takes part but never lends its id. Columns other than the two are not read.
-    """
-    spark: SparkSession = docs.sparkSession
-    links = _Links(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, percent, miss)
-    # buckets with several nodes; the node that meets most others is a bucket's pivot: of copies it is the likeliest original
-    sizes = staged(links.in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
-    shared = staged(links.in_bands.join(sizes, "band").select("band", "node", "n", "m"), "shared")
-    weights = staged(shared.groupBy("node").agg(F.sum("m").alias("weight")), "weights")
-    members = staged(shared.join(weights, "node").select("band", "node", "n", "weight", F.col("node").alias("comp")), "members")
-    best = F.max(F.struct("weight", "node", "n")).alias("p")
-    pivots = staged(members.groupBy("band").agg(best).select("band", F.col("p.node").alias("x"), F.col("p.n").alias("nx")), "pivots")
-    met = staged(members.join(pivots, "band").where("node <> x").select("band", "node", "n", "x", "nx"), "met")
-    first = links.check(met.where(links.could_link("n", "nx")).select("x", F.col("node").alias("y")).distinct())
-    edges = first.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
+def _past_pivots(links: _Links, met: DataFrame, first: DataFrame, comps: DataFrame) -> DataFrame | None:
+    """Pairs (x, y) of nodes of one bucket but of different components that still can link, given what each has in common
+    with the bucket's pivot (``met``: band, node, n, x, nx; ``first``: the pairs with pivots that were compared); None when no bucket has several components."""
     # a pivot has met its whole bucket and leaves it; buckets within one component are done
-    met = met.join(components(spark, edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    met = met.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     met = staged(met.join(first.select("x", F.col("y").alias("node"), "common"), ["x", "node"], "left"), "measured")
     mixed = staged(met.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band"), "mixed")
+    if not mixed.limit(1).count():
+        return None
     left = staged(met.join(mixed, "band", "left_semi"), "left")
     other = left.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("common").alias("ky"))
     # nodes without a common shingle beyond the pivot's have at most min(common, ky) shingles in common
     most = F.least("common", "ky")
-    enough = F.col("common").isNull() | F.col("ky").isNull() | (most * 100 >= (F.col("n") + F.col("ny") - most) * percent)
+    enough = F.col("common").isNull() | F.col("ky").isNull() | (most * 100 >= (F.col("n") + F.col("ny") - most) * links.percent)
     pairs = left.join(other, "band").where("node < y and comp <> cy").where(links.could_link("n", "ny")).where(enough).select(F.col("node").alias("x"), "y")
     # the others need some shingles beyond it in common, and so one among the rarer ones of each (in one order for both)
     around = left.where("common is not null").select(F.col("x").alias("pivot"), "node", "n", "comp", "common").distinct()
@@ -244,13 +231,58 @@ def classes(
     rank = F.row_number().over(W.partitionBy("pivot", "node").orderBy(F.col("often").desc(), "shingle"))  # within one text
     ranked = staged(beyond.join(often, ["pivot", "shingle"]).withColumn("behind", rank), "ranked")
     sides = ranked.select("pivot", "shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("common").alias("ky"), F.col("behind").alias("by"))
-    lacking = F.ceil((F.col("n") + F.col("ny")) * percent / F.lit(100 + percent)) - most
+    lacking = F.ceil((F.col("n") + F.col("ny")) * links.percent / F.lit(100 + links.percent)) - most
     by_shingle = ranked.join(sides, ["pivot", "shingle"]).where("node < y and comp <> cy").where(links.could_link("n", "ny"))
     by_shingle = by_shingle.where((lacking >= 1) & (F.col("behind") >= lacking) & (F.col("by") >= lacking))
-    second = links.check(pairs.union(by_shingle.select("node", "y")).distinct())
-    edges = edges.union(second.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return pairs.union(by_shingle.select("node", "y")).distinct()
+
 
-    comps = components(spark, edges)
+def classes(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, miss: float = MISS
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, node.
+
+    Texts are lower-cased (A-Z) and cut into words at spaces and 0x09-0x0D; a text with fewer than ``width`` words has
+    its whole sequence as its one shingle. Sets link when 100 * intersection >= percent * union. Null, empty and
+    blank texts have no shingles and link with nothing. ``component_id`` is the smallest id that links reach; a row
+    with a null id takes part but never lends its id. Columns other than the two are not read.
+    """
+    spark: SparkSession = docs.sparkSession
+    links = _Links(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, percent, miss)
+    # buckets with several nodes; the node that meets most others is a bucket's pivot: of copies it is the likeliest original
+    sizes = staged(links.in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
+    shared = staged(links.in_bands.join(sizes, "band").select("band", "node", "n", "m"), "shared")
+    weights = staged(shared.groupBy("node").agg(F.sum("m").alias("weight")), "weights")
+    members = staged(shared.join(weights, "node").select("band", "node", "n", "weight", F.col("node").alias("comp")), "members")
+    best = F.max(F.struct("weight", "node", "n")).alias("p")
+    pivots = members.groupBy("band").agg(best).select("band", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.weight").alias("wx"))
+    pivots = staged(pivots, "pivots")
+    met = staged(members.join(pivots, "band").where("node <> x").select("band", "node", "n", "x", "nx", "wx"), "met")
+    discard(shared, members, weights)
+    able = met.where(links.could_link("n", "nx"))
+    # every node with the heaviest of its pivots first: in a large group of copies that is one node for most of them
+    heaviest = able.groupBy(F.col("node").alias("y")).agg(F.max(F.struct("wx", "x")).alias("p")).select(F.col("p.x").alias("x"), "y")
+    heaviest = staged(heaviest, "heaviest")
+    first = links.check(heaviest)
+    # then, in buckets that this leaves in several components, every node with the bucket's own pivot
+    edges = _edges(first)
+    so_far = components(spark, edges)
+    of_node, of_pivot = so_far.select(F.col("node").alias("cn"), F.col("comp").alias("comp_n")), so_far.select(F.col("node").alias("cx"), F.col("comp").alias("comp_x"))
+    placed = met.join(of_node, F.col("node") == F.col("cn"), "left").join(of_pivot, F.col("x") == F.col("cx"), "left")
+    several = placed.where(F.coalesce("comp_n", "node") != F.coalesce("comp_x", "x")).select("band").distinct()
+    several = staged(several, "several")
+    if several.limit(1).count():
+        rest = able.join(several, "band", "left_semi").select("x", F.col("node").alias("y")).distinct().join(heaviest, ["x", "y"], "left_anti")
+        first = staged(first.union(links.check(staged(rest, "rest"))), "first")
+        edges = _edges(first)
+        # buckets within one component are done for good
+        met = met.join(several, "band", "left_semi").drop("wx")
+        so_far = components(spark, edges)
+        pairs = _past_pivots(links, met, first, so_far)
+        if pairs is not None:
+            so_far = components(spark, edges.union(_edges(links.check(pairs))))
+
+    comps = so_far
     named = links.nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     # only nodes whose component has another id than their own rows need an entry
