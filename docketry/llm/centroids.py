@@ -186,6 +186,11 @@ def _array(vectors: list[list[int]]) -> np.ndarray:
     return np.array(vectors, object if large else np.int64)
 
 
+def _long(n) -> int | None:
+    """A whole number of 64 bits, else None."""
+    return int(n) if n is not None and n <= LONG else None
+
+
 def integers(vectors: DataFrame, dims: int, scale: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id and the vectors of ``dims`` finite components: ``parts``, floor(scale * x), or beyond FAST ``large``, scale * x."""
     x: Column = F.col(f"`{embedding}`").cast("array<double>")
@@ -207,8 +212,8 @@ def cluster(
     (repeated ids) go by their components. With fewer kept vectors than ``k`` all of them start one. Of equally near
     centroids the smaller number wins, so of equal centroids only the first gets vectors; centroids that get none stay.
     Repeated rows are vectors of their own. A table without kept vectors gives no rows. Scaled components beyond 2**24
-    are worked on, slower, as Python integers; ones of 10**26 or more are an error; a distance beyond 64 bits is null
-    and left out of the inertias. Other columns are not read.
+    are worked on, slower, as Python integers; ones of 10**26 or more are an error; a distance or inertia beyond 64 bits is
+    null, and so is an inertia with such a distance in it. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = staged(integers(vectors, dims, scale, vec_id, embedding), "vectors")
@@ -224,9 +229,11 @@ def cluster(
         for r in total.collect():  # at most k rows
             centroids[r["cluster"]] = [int(r[f"s{i}"]) // r["n"] for i in range(dims)]
     found = staged(rows.select("vec_id", "parts", "large").mapInArrow(_assign(_array(centroids), dims), "vec_id long, cluster int, distance long"), "assigned")
-    inertia = {r["cluster"]: r["inertia"] or 0 for r in found.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}
+    exact = F.when(F.count("distance") == F.count(F.lit(1)), F.sum(F.col("distance").cast("decimal(38,0)")))
+    sums = {r["cluster"]: r["inertia"] for r in found.groupBy("cluster").agg(exact.alias("inertia")).collect()}  # at most k rows
+    inertia = {c: _long(n) for c, n in sums.items()}
     digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
-    whole = sum(inertia.values())
+    whole = None if None in sums.values() else _long(sum(sums.values()))
     of_cluster = spark.createDataFrame(
         [(c, inertia[c], whole, digests[c]) for c in inertia], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string"
     )

@@ -216,7 +216,10 @@ def brute_clusters(vectors, k, rounds):
     part = Counter()
     for _, c, d in found:
         part[c] += d
-    return sorted(((i, c, d, part[c], sum(part.values()), hashlib.sha256(",".join(map(str, means[c])).encode()).hexdigest()) for i, c, d in found), key=str)
+    def fit(n):  # null where 64 bits do not hold a number
+        return n if n < 1 << 63 else None
+
+    return sorted(((i, c, fit(d), fit(part[c]), fit(sum(part.values())), hashlib.sha256(",".join(map(str, means[c])).encode()).hexdigest()) for i, c, d in found), key=str)
 
 
 @pytest.mark.parametrize("big", [1.0, 1e6])
