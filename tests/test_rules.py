@@ -336,3 +336,18 @@ def test_submitted_ids_keep_their_order(spark):
     assert [(r.request_id, r.attachments, r.ids, r.rejected, r.file_id) for r in rows] == [
         (1, 3, 3, False, "a"), (1, 3, 3, False, "b"), (1, 3, 3, False, "c"), (2, 1, 0, True, None),
     ]
+
+
+def test_hits_of_a_search_stay_where_the_chunk_is(spark):
+    """Chunks are shuffled once by document, hits are not; a repeated chunk counts for each copy, a NULL id meets no article."""
+    from docketry.operators import search
+
+    chunks = spark.createDataFrame(
+        [("d1-0", 1, 0, 1, "Alpha beta"), ("d1-0", 1, 0, 1, "Alpha beta"), ("d1-1", 1, 1, 1, "alpha, gamma"), (None, 2, 0, 1, "alpha beta"), ("d3-0", 3, 70000, 9, "Beta")],
+        "chunk_id string, doc_id long, pos long, page_start int, text string",
+    )
+    asked = spark.createDataFrame([("p", "alpha beta", ""), ("q", "alpha beta", "ALPHA b"), ("r", "none", "")], "request_id string, q string, article string")
+    found = search.matching_chunks(search.distinct_searches(asked)[0], chunks)
+    assert "hashpartitioning(search" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.search, str(r.chunk_id), r.score) for r in found.collect())
+    assert got == [("p", "None", 2), ("p", "d1-0", 4), ("p", "d1-1", 1), ("p", "d3-0", 1), ("q", "d1-0", 4), ("q", "d1-0", 4)]
