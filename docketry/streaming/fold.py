@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docketry.operators.blocks import TEXT_BLOCK
+from docketry.streaming.waiting import DIRECTORY, Waiting
 
 # Fixed value: shown when an error event carries no detail.
 STREAM_ERROR = "Une erreur est survenue pendant le streaming."
@@ -24,7 +25,7 @@ OUTPUT = (
 )
 STATE = (
     "answer string, reasoning string, status string, finish_reason string, rag_note string, "
-    "rag_sources string, last_seq bigint, n_events bigint, applied bigint, waiting bigint"
+    f"rag_sources string, last_seq bigint, n_events bigint, applied bigint, {DIRECTORY}"
 )
 EVENT = "event string, text string, note string, reason string, sources string"
 KNOWN = ("meta", "token", "reasoning", "replace", "done", "error")
@@ -111,7 +112,7 @@ def fold_batch(events: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
 
 @dataclasses.dataclass
 class Turn:
-    """A turn so far. ``applied``: every event up to this number is in it; ``waiting``: events kept beyond a gap."""
+    """A turn so far. ``applied``: every event up to this number is in it."""
 
     answer: list[str]
     reasoning: list[str]
@@ -122,14 +123,13 @@ class Turn:
     last_seq: int = -1
     n_events: int = 0
     applied: int = 0
-    waiting: int = 0
 
     @classmethod
     def of(cls, answer: str, reasoning: str, *rest) -> Turn:
         return cls([answer], [reasoning], *rest)
 
     def values(self) -> tuple:
-        """The row of ``STATE``; its first members are those of ``OUTPUT``."""
+        """The row of ``STATE`` without the directory; its first members are those of ``OUTPUT``."""
         rest = [getattr(self, f.name) for f in dataclasses.fields(self)[2:]]
         return "".join(self.answer), "".join(self.reasoning), *rest
 
@@ -172,68 +172,68 @@ class TurnFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._turn = handle.getValueState("turn", STATE, self._ttl_ms)
-        self._later = handle.getMapState("later", "seq bigint", EVENT, self._ttl_ms)
+        self._later = handle.getMapState("later", "chunk bigint", f"numbers array<bigint>, events array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>", self._ttl_ms)
+
+    def _stored(self) -> tuple[Turn, Waiting]:
+        *turn, ids, starts = self._turn.get()
+        return Turn.of(*turn), Waiting(self._later, ids, starts)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turn = Turn.of(*self._turn.get()) if self._turn.exists() else Turn([], [], applied=self._first_seq - 1)
+        turn, waiting = self._stored() if self._turn.exists() else (Turn([], [], applied=self._first_seq - 1), Waiting(self._later))
+        later = waiting.open()
         for frame in rows:
-            self._take(turn, frame)
-        while turn.waiting and turn.is_open:
-            event = self._later.getValue((turn.applied + 1,))
-            if event is None:
-                break
-            self._later.removeKey((turn.applied + 1,))
-            turn.waiting -= 1
+            self._take(turn, later, frame)
+        while turn.is_open and turn.applied + 1 in later:
             turn.applied += 1
-            turn.apply(turn.applied, tuple(event))
-        if turn.waiting and not turn.is_open:
-            self._later.clear()
-            turn.waiting = 0
-        self._turn.update(turn.values())
+            turn.apply(turn.applied, tuple(later.pop(turn.applied)))
+        if turn.is_open:
+            waiting.close(later)
+        elif len(waiting):
+            waiting.clear()
+        self._turn.update((*turn.values(), *waiting.directory()))
         if self._idle_ms and turn.is_open:
             for old in list(self._handle.listTimers()):
                 self._handle.deleteTimer(old)
             self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._idle_ms)
-        yield self._row(key, self._with_later(turn))
+        yield self._row(key, self._with_later(turn, later))
 
-    def _take(self, turn: Turn, frame: pd.DataFrame) -> None:
+    def _take(self, turn: Turn, later: dict[int, tuple], frame: pd.DataFrame) -> None:
         """Apply what follows the turn without a gap; keep the rest by number."""
         for seq, *event in frame[["seq", "event", "text", *EVENT_COLUMNS]].drop_duplicates("seq").sort_values("seq").itertuples(index=False, name=None):
             seq, event = int(seq), tuple(x if isinstance(x, str) else None for x in event)
             if not turn.is_open:
                 return
-            if seq <= turn.applied or (turn.waiting and self._later.containsKey((seq,))):
+            if seq <= turn.applied or seq in later:
                 continue
             turn.n_events += 1
             if seq == turn.applied + 1:
                 turn.applied = seq
                 turn.apply(seq, event)
             else:
-                self._later.updateValue((seq,), event)
-                turn.waiting += 1
+                later[seq] = event
 
-    def _with_later(self, turn: Turn) -> Turn:
+    @staticmethod
+    def _with_later(turn: Turn, later: dict[int, tuple]) -> Turn:
         """The turn with the events beyond its gaps."""
-        if not turn.waiting:
+        if not (later and turn.is_open):
             return turn
         shown = Turn.of(*turn.values())
-        for (seq,), event in sorted((tuple(k), tuple(v)) for k, v in self._later.iterator()):
+        for seq in sorted(later):
             if not shown.is_open:
                 break
-            shown.apply(seq, event)
+            shown.apply(seq, tuple(later[seq]))
         return shown
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """ST3: the input ended without a terminal event."""
         if self._turn.exists():
-            turn = Turn.of(*self._turn.get())
+            turn, waiting = self._stored()
             if turn.is_open:
-                turn = self._with_later(turn)
+                turn = self._with_later(turn, waiting.open())
                 if turn.is_open:
                     turn.status, turn.finish_reason = "done", "stop"
-                self._later.clear()
-                turn.waiting = 0
-                self._turn.update(turn.values())
+                waiting.clear()
+                self._turn.update((*turn.values(), *waiting.directory()))
                 yield self._row(key, turn)
 
     def close(self) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from docketry.functions.jsontext import strict_json
 from docketry.functions.text import BLANKS, let, strip
+from docketry.streaming.waiting import DIRECTORY, Waiting
 
 DEFAULT_EVENT = "message"
 
@@ -56,26 +57,30 @@ class PacketCutter(StatefulProcessor):
         self._first = first_piece
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._at = handle.getValueState("at", "piece bigint, packets bigint, tail binary")
-        self._later = handle.getMapState("later", "piece bigint", "body binary")
+        self._at = handle.getValueState("at", f"piece bigint, packets bigint, tail binary, {DIRECTORY}")
+        self._later = handle.getMapState("later", "chunk bigint", "pieces array<bigint>, bodies array<binary>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        piece, packets, tail = self._at.get() if self._at.exists() else (self._first, 0, b"")
-        tail = bytearray(tail)
+        piece, packets, tail, ids, starts = self._at.get() if self._at.exists() else (self._first, 0, b"", (), ())
+        tail, waiting = bytearray(tail), Waiting(self._later, ids, starts)
         found: list[str] = []
+        ahead: dict[int, bytes] = {}
         for frame in rows:
             for number, body in frame[["piece", "body"]].sort_values("piece").itertuples(index=False, name=None):
                 if number == piece:
                     piece += 1
                     _cut(tail, bytes(body), found)
                 elif number > piece:
-                    self._later.updateValue((int(number),), (bytes(body),))
-        while self._later.containsKey((piece,)):
-            body = self._later.getValue((piece,))[0]
-            self._later.removeKey((piece,))
-            piece += 1
-            _cut(tail, bytes(body), found)
-        self._at.update((int(piece), packets + len(found), bytes(tail)))
+                    ahead[int(number)] = bytes(body)
+        while True:
+            ahead = waiting.open(piece) | ahead
+            if piece not in ahead:
+                break
+            while piece in ahead:
+                _cut(tail, bytes(ahead.pop(piece)), found)
+                piece += 1
+        waiting.close({n: body for n, body in ahead.items() if n > piece})
+        self._at.update((int(piece), packets + len(found), bytes(tail), *waiting.directory()))
         if found:
             numbers = range(packets + 1, packets + 1 + len(found))
             yield pd.DataFrame({"stream_id": [key[0]] * len(found), "seq": list(numbers), "packet": found})

@@ -288,3 +288,26 @@ def test_debounce(spark, gap, periods):
     df = spark.createDataFrame(rows, "scope int, t double, seq int, notes string").withColumn("ts", F.timestamp_millis((F.col("t") * 1000).cast("bigint")))
     got = debounced(df, "notes", gap).orderBy("seq").collect()
     assert len(got) == periods and [r.notes for r in got][-2:] == ["c", "d"]
+
+
+def test_waiting_rows_share_state_calls():
+    """A batch ahead of its turn is one call of the state for each chunk; a chunk that holds what comes next is read once."""
+    from docketry.streaming.waiting import CHUNK, Waiting
+
+    calls = []
+
+    class Map(dict):
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+        getValue, removeKey = dict.__getitem__, dict.__delitem__
+
+    state = Map()
+    waiting = Waiting(state)
+    waiting.close({n: f"x{n}" for n in range(5, 5 + CHUNK + 1)})
+    assert len(calls) == 2 and len(waiting) == 2
+    again = Waiting(state, *waiting.directory())
+    assert again.open(4) == {} and len(again.open(5)) == CHUNK
+    again.close({n: f"x{n}" for n in range(7, 5 + CHUNK)})
+    assert len(calls) == 3 and sorted(n for v in state.values() for n in v[0]) == list(range(7, 5 + CHUNK + 1))
