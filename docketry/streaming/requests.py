@@ -18,6 +18,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 WAIT_MS = 600_000
 REQUEST, ANSWER = "request", "answer"
+#: Answers that wait in one chunk at most, and the characters of their bodies from which it is full; more only for one request.
+CHUNK, CHUNK_CHARS = 4096, 1 << 20
+DIRECTORY = "firsts array<{0}>, lasts array<{0}>, sizes array<bigint>"
 
 
 def tagged(requests: DataFrame, answers: DataFrame) -> DataFrame:
@@ -47,67 +50,120 @@ def drop_superseded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 class NewestRequest(StatefulProcessor):
-    """State of one scope."""
+    """State of one scope.
+
+    A call to the state store costs far more than a row does. So answers wait in chunks, sorted by request, and one value holds the
+    newest request and the directory of the chunks: first and last request, number of answers. A chunk's key is its last request.
+    Chunks no larger than what a batch adds are written anew with it, so few small ones stay.
+    """
 
     def __init__(self, id_type: str, wait_ms: int | None):
         self._id_type, self._wait_ms = id_type, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._newest = handle.getValueState("newest", f"seq bigint, request_id {self._id_type}")
-        self._waiting = handle.getValueState("waiting", "requests bigint")
-        self._early = handle.getMapState("early", f"request_id {self._id_type}", "seq bigint, bodies array<string>, came_ms bigint")
+        self._scope = handle.getValueState("scope", f"seq bigint, request_id {self._id_type}, {DIRECTORY.format(self._id_type)}")
+        self._early = handle.getMapState("early", f"request_id {self._id_type}", f"requests array<{self._id_type}>, bodies array<string>, came_ms array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = tuple(self._newest.get()) if self._newest.exists() else None
-        held_before = self._waiting.get()[0] if self._waiting.exists() else 0
-        newest, held, now = before, held_before, timerValues.getCurrentProcessingTimeInMs() if self._wait_ms else 0
+        before, chunks = self._load()
+        newest, now, fresh = before, timerValues.getCurrentProcessingTimeInMs() if self._wait_ms else 0, []
         for frame in rows:
             for kind, request, numbered, seq, body in frame[["kind", "request_id", "numbered", "seq", "body"]].itertuples(index=False, name=None):
                 request, seq = _plain(request), int(seq) if numbered else None
                 if kind == REQUEST:
                     newest = (seq, request) if newest is None else max(newest, (seq, request))
                 elif seq is None or newest is None or (seq, request) >= newest:
-                    early = self._early.getValue((request,))
-                    held += early is None
-                    self._early.updateValue((request,), (seq, [*(early[1] if early else []), body], now))
-        told = []
-        if newest is not None and held and self._early.containsKey((newest[1],)):
-            told = list(self._early.getValue((newest[1],))[1])
-            self._early.removeKey((newest[1],))
-            held -= 1
-        if self._wait_ms and held and not held_before:
+                    fresh.append((request, body, now))
+        told, held_before, changed = [], bool(chunks), bool(fresh)
+        if newest is not None:
+            for last in [k for k, (first, _) in chunks.items() if first <= newest[1] <= k]:
+                items = self._items(last)
+                mine = [body for request, body, _ in items if request == newest[1]]
+                if mine:
+                    told, changed = told + mine, True
+                    fresh = [x for x in items if x[0] != newest[1]] + fresh
+                    self._drop(chunks, last)
+            told += [body for request, body, _ in fresh if request == newest[1]]
+            fresh = [x for x in fresh if x[0] != newest[1]]
+        if fresh:
+            self._add(chunks, fresh)
+        if self._wait_ms and chunks and not held_before:
             self._handle.registerTimer(now + self._wait_ms)
-        if held != held_before:
-            self._waiting.update((held,))
-        if newest != before:
-            self._newest.update(newest)
-            yield self._row(key, newest, None, False)
-        for body in told:
-            yield self._row(key, newest, body, True)
+        if changed or newest != before:
+            self._store(newest, chunks)
+        bodies = ([None] if newest != before else []) + told
+        if bodies:
+            answered = [False] * (newest != before) + [True] * len(told)
+            n = len(bodies)
+            yield pd.DataFrame({"scope": [key[0]] * n, "request_id": [newest[1]] * n, "seq": [newest[0]] * n, "body": pd.Series(bodies, dtype=object), "answered": answered})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Answers that have waited long enough go; the timer is set again for the others."""
-        now = timerValues.getCurrentProcessingTimeInMs()
-        waiting = [(tuple(k), v[2]) for k, v in self._early.iterator()]
+        """Answers that have waited long enough, counted from the last one to their request, go; the timer is set again for the others."""
+        now, came = timerValues.getCurrentProcessingTimeInMs(), {}
+        newest, chunks = self._load()
+        waiting = {last: self._items(last) for last in chunks}
+        for items in waiting.values():
+            for request, _, at in items:
+                came[request] = max(at, came.get(request, at))
+        gone = {request for request, at in came.items() if at + self._wait_ms <= now}
         left = []
-        for request, came in waiting:
-            if came + self._wait_ms <= now:
-                self._early.removeKey(request)
-            else:
-                left.append(came)
+        for last, items in waiting.items():
+            if any(x[0] in gone for x in items):
+                left += [x for x in items if x[0] not in gone]
+                self._drop(chunks, last)
         if left:
-            self._handle.registerTimer(min(left) + self._wait_ms)
-        self._waiting.update((len(left),))
+            self._add(chunks, left)
+        if len(gone) < len(came):
+            self._handle.registerTimer(min(at for request, at in came.items() if request not in gone) + self._wait_ms)
+        self._store(newest, chunks)
         yield from ()
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _row(key, newest: tuple, body: str | None, answered: bool) -> pd.DataFrame:
-        seq, request = newest
-        return pd.DataFrame({"scope": [key[0]], "request_id": [request], "seq": [seq], "body": pd.Series([body], dtype=object), "answered": [answered]})
+    def _load(self) -> tuple[tuple | None, dict]:
+        """The newest request, and (first request, answers) of every chunk by its last request, in the order they were written."""
+        found = self._scope.get()
+        if found is None:
+            return None, {}
+        seq, request, firsts, lasts, sizes = found
+        return (None if seq is None else (seq, request)), dict(zip(lasts, zip(firsts, sizes, strict=True), strict=True))
+
+    def _store(self, newest: tuple | None, chunks: dict) -> None:
+        self._scope.update((*(newest or (None, None)), [first for first, _ in chunks.values()], list(chunks), [n for _, n in chunks.values()]))
+
+    def _items(self, last) -> list[tuple]:
+        return list(zip(*self._early.getValue((last,)), strict=True))
+
+    def _drop(self, chunks: dict, last) -> None:
+        self._early.removeKey((last,))
+        del chunks[last]
+
+    def _add(self, chunks: dict, fresh: list[tuple]) -> None:
+        """Store ``fresh`` answers, together with the newest chunks that are no larger, and with any whose key one of them bears."""
+        while chunks:
+            last, (_, n) = next(reversed(chunks.items()))
+            if n > min(len(fresh), CHUNK - 1):
+                break
+            fresh = self._items(last) + fresh
+            self._drop(chunks, last)
+        while same := chunks.keys() & {x[0] for x in fresh}:
+            for last in [k for k in chunks if k in same][::-1]:
+                fresh = self._items(last) + fresh
+                self._drop(chunks, last)
+        self._write(chunks, sorted(fresh, key=lambda x: x[0]))
+
+    def _write(self, chunks: dict, items: list[tuple]) -> None:
+        """Cut sorted answers into chunks; those of one request stay together."""
+        start, size = 0, 0
+        for i, (request, body, _) in enumerate(items):
+            size += len(body or "")
+            if i + 1 == len(items) or (i + 1 - start >= CHUNK or size >= CHUNK_CHARS) and items[i + 1][0] != request:
+                part = items[start : i + 1]
+                self._early.updateValue((request,), tuple(map(list, zip(*part, strict=True))))
+                chunks[request] = (part[0][0], len(part))
+                start, size = i + 1, 0
 
 
 def _plain(value):

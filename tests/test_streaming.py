@@ -189,6 +189,47 @@ def test_early_answers_expire(spark):
     assert not list(state.handleExpiredTimer(("a",), Now(100), None)) and handle.timers == [160] and list(state._early) == [(2,)]
 
 
+@pytest.mark.parametrize("rows_a_batch", [1, 7, 400])
+def test_early_answers_wait_in_chunks(monkeypatch, rows_a_batch):
+    """A batch of answers costs a few calls of the state store, and every answer comes out once its request is the newest."""
+    calls = []
+
+    class Value:
+        v = None
+        get = lambda self: self.v
+
+        def update(self, v):
+            self.v = v
+
+    class Map(dict):
+        getValue, removeKey = dict.get, dict.pop
+
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+    class Handle:
+        getValueState = lambda self, *a: Value()
+        getMapState = lambda self, *a: Map()
+
+    def run(rows):
+        frame = pd.DataFrame(rows, columns=["kind", "request_id", "numbered", "seq", "body"])
+        return [(r.request_id, r.body) for out in state.handleInputRows(("a",), iter([frame]), None) for r in out.itertuples() if r.answered]
+
+    monkeypatch.setattr(requests, "CHUNK", 64)
+    state, dice = requests.NewestRequest("bigint", None), random.Random(rows_a_batch)
+    state.init(Handle())
+    answers = [("answer", q, False, 0, f"{q}/{i}") for q in range(400) for i in range(1 + q % 3)]
+    dice.shuffle(answers)
+    batches = [answers[i : i + rows_a_batch] for i in range(0, len(answers), rows_a_batch)]
+    for batch in batches:
+        assert not run(batch)
+    assert len(calls) <= len(batches) + len(answers) // 32 and len(state._early) <= 8 + len(answers) // 16
+    for q in range(400):
+        assert sorted(run([("request", q, True, q, None)])) == [(q, f"{q}/{i}") for i in range(1 + q % 3)]
+    assert not state._early
+
+
 BODY = 'event: meta\r\ndata: {"rag_note":"né€"}\r\n\r\n: ping\n\n\n\nevent: token\ndata: {"text":\ndata: "😀"}\n\ndata: {bad\n\nevent: done\ndata: {}\r\n\r\nevent: token\ndata: {"text":"cut"}'
 
 
