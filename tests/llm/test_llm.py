@@ -285,6 +285,22 @@ def test_passages_past_the_pivots(spark):
     assert all(got[i]["component_id"] == i for i in range(2, len(got)))
 
 
+def test_pairs_without_windows_are_refused(monkeypatch):
+    """No window search where two texts have too few tokens in common, however often they repeat them; near windows are never refused."""
+    rng = np.random.default_rng(11)
+    for k in range(200):
+        core = rng.integers(0, 9 if k % 2 else 900, rng.integers(8, 14)).tolist()
+        ends = [rng.integers(1000 * i, 1000 * i + 5, rng.integers(0, 6)).tolist() for i in range(1, 5)]
+        a, b = ends[0] + core + ends[1], ends[2] + list(rng.permutation(core)) + ends[3]
+        every = any(near(a[p:q], b[s:t]) for p in range(len(a)) for q in range(p + 8, len(a) + 1) for s in range(len(b)) for t in range(s + 8, len(b) + 1))
+        assert passages._could_meet(np.array(a, np.uint64), np.array(b, np.uint64), 8, 80) or not every
+    monkeypatch.setattr(passages, "_missed", None)
+    line = list(range(20))
+    a = np.array([x for k in range(50) for x in [*line, 100 + k]], np.uint64)
+    b = np.array([*range(5000, 5060), *line, *range(6000, 6060)], np.uint64)
+    assert passages.passages(a, b, 46, 80) == [] == passages.passages(b, a, 46, 80)
+
+
 def test_quality(spark, docs, empty):
     good = [(i, f"plain text number {i} with the usual words of the house", 1) for i in range(60)]
     bad = [(100 + i, f"$$$ !!{i}!! ### buy buy buy @@@", 0) for i in range(30)]
