@@ -301,6 +301,17 @@ def test_pairs_without_windows_are_refused(monkeypatch):
     assert passages.passages(a, b, 46, 80) == [] == passages.passages(b, a, 46, 80)
 
 
+def test_a_text_crosses_the_network_once(spark):
+    same = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(2, "a " + same, "x"), (1, same + " b", "y"), (None, None, None)], "id int, body string, found string")
+    beside = suffix_dedup._with_intervals(df, "id", "body", 100, True, 1000)
+    strings = [f.name for f in beside.schema["row"].dataType.fields if f.dataType.simpleString() == "string"]
+    assert strings == ["c2"] and "Broadcast" not in beside._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r for r in suffix_dedup.drop_later_copies(df, "id", "body", 100).collect()}
+    assert suffix_dedup.drop_later_copies(df, "id", "body", 100).columns == df.columns
+    assert got[1]["body"].startswith(same[:90]) and len(got[2]["body"]) < 100 and got[2]["found"] == "x" and got[None]["body"] is None
+
+
 def test_quality(spark, docs, empty):
     good = [(i, f"plain text number {i} with the usual words of the house", 1) for i in range(60)]
     bad = [(100 + i, f"$$$ !!{i}!! ### buy buy buy @@@", 0) for i in range(30)]
