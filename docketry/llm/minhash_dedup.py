@@ -4,8 +4,9 @@
 2. A node has ``bands * rows`` MinHash values. Nodes that agree on all rows of a band share a bucket.
 3. In every bucket one node, the pivot, is paired with the others, so a bucket of m nodes gives m - 1 pairs. Where the
    links found leave a bucket in several components, its nodes of different components are paired if they still can
-   link: both were measured against the pivot, so what they can share inside the pivot is bounded, and what they share
-   beyond it they meet by. A pair is only left out when its ends are connected already or cannot link.
+   link. In a bucket of up to ``FEW`` nodes all such nodes are. In a larger one each node is measured exactly against the
+   pivot: from sizes and from what two nodes share with the pivot follows how many of their differences to it they must
+   have in common to link, and they meet by those. A pair is only left out when its ends are connected already or cannot link.
 4. Pairs compare their signatures batch by batch; a pair goes when the posterior probability that its similarity
    reaches the threshold falls below ``miss``.
 5. What remains is compared on the full shingle sets, from the whole texts.
@@ -30,6 +31,8 @@ from docketry.session import staged
 BANDS, ROWS = 24, 4
 MISS = 1e-6
 BATCH = 24
+#: Nodes of a bucket that are compared all with all.
+FEW = 16
 _rng = np.random.default_rng(7)
 MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
 ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -146,16 +149,16 @@ def _verify(width: int, percent: int):
                 for i, j, buf, offs in parts:
                     values, limits = sets_of(buf, offs, width)
                     side.extend(values[limits[k] : limits[k + 1]] for k in range(j - i))
-            common, linked, outside = [], [], []
+            common, linked, differ = [], [], []
             for a, b in zip(*sets, strict=True):
                 both = np.isin(b, a, assume_unique=True)
                 k = int(both.sum())
                 common.append(k)
                 linked.append(k > 0 and 100 * k >= percent * (len(a) + len(b) - k))
-                outside.append(signed(b[~both]))
+                differ.append(signed(np.concatenate([b[~both], a[~np.isin(a, b, assume_unique=True)]])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(outside, pa.list_(pa.int64()))],
-                ["x", "y", "common", "linked", "outside"],
+                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(differ, pa.list_(pa.int64()))],
+                ["x", "y", "common", "linked", "differ"],
             )
 
     return run
@@ -180,15 +183,18 @@ class _Links:
         return (F.col(a) * 100 >= F.col(b) * self.percent) & (F.col(b) * 100 >= F.col(a) * self.percent)
 
     def check(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (x, y) that survive the signatures, with the exact size of what they have in common, whether they link,
-        and the shingles of y that x lacks."""
+        """Pairs (x, y) that survive the signatures, as ``measure`` gives them."""
         sig = self.nodes.select("node", "sig")
         signed_pairs = (
             pairs.join(sig.select(F.col("node").alias("x"), F.col("sig").alias("sx")), "x")
             .join(sig.select(F.col("node").alias("y"), F.col("sig").alias("sy")), "y")
             .select("x", "y", "sx", "sy")
         )
-        left = staged(signed_pairs.mapInArrow(_prune(self.percent, self.miss), "x long, y long"), "survivors")
+        return self.measure(staged(signed_pairs.mapInArrow(_prune(self.percent, self.miss), "x long, y long"), "survivors"))
+
+    def measure(self, left: DataFrame) -> DataFrame:
+        """Pairs (x, y) with the exact size of what they have in common, whether they link, and the shingles that only
+        one of them has."""
         wanted = left.select(F.explode(F.array("x", "y")).alias("node")).distinct()
         null_id = F.coalesce("least", F.lit(-(1 << 63)))
         ids = staged(wanted.join(self.nodes.select("node", "least"), "node").select(null_id.alias("id")).distinct(), "wanted")
@@ -200,7 +206,7 @@ class _Links:
             .join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
             .select("x", "y", "tx", "ty")
         )
-        return staged(full.mapInArrow(_verify(self.width, self.percent), "x long, y long, common long, linked boolean, outside array<long>"), "verified")
+        return staged(full.mapInArrow(_verify(self.width, self.percent), "x long, y long, common long, linked boolean, differ array<long>"), "verified")
 
 
 def classes(
@@ -229,25 +235,36 @@ def classes(
     # a pivot has met its whole bucket and leaves it; buckets within one component are done
     met = met.join(components(spark, edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     met = staged(met.join(first.select("x", F.col("y").alias("node"), "common"), ["x", "node"], "left"), "measured")
-    mixed = staged(met.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band"), "mixed")
-    left = staged(met.join(mixed, "band", "left_semi"), "left")
-    other = left.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("common").alias("ky"))
-    # nodes without a common shingle beyond the pivot's have at most min(common, ky) shingles in common
-    most = F.least("common", "ky")
-    enough = F.col("common").isNull() | F.col("ky").isNull() | (most * 100 >= (F.col("n") + F.col("ny") - most) * percent)
-    pairs = left.join(other, "band").where("node < y and comp <> cy").where(links.could_link("n", "ny")).where(enough).select(F.col("node").alias("x"), "y")
-    # the others need some shingles beyond it in common, and so one among the rarer ones of each (in one order for both)
-    around = left.where("common is not null").select(F.col("x").alias("pivot"), "node", "n", "comp", "common").distinct()
-    beyond = around.join(first.select(F.col("x").alias("pivot"), F.col("y").alias("node"), F.explode("outside").alias("shingle")), ["pivot", "node"])
-    beyond = staged(beyond, "beyond")
-    often = staged(beyond.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    mixed = met.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m")).where("c1 <> c2")
+    mixed = staged(mixed.select("band", (F.col("m") <= FEW).alias("few")), "mixed")
+    left = staged(met.join(mixed, "band").select("band", "node", "n", "x", "nx", "comp", "common", "few"), "left")
+    few = left.where("few")
+    other = few.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+    pairs = few.join(other, "band").where("node < y and comp <> cy").where(links.could_link("n", "ny")).select(F.col("node").alias("x"), "y")
+
+    # in a larger bucket every node is measured against the pivot, also those that cannot link with it
+    many = staged(left.where("not few").select(F.col("x").alias("pivot"), "nx", "node", "n", "comp", "common").distinct(), "around")
+    more = links.measure(staged(many.where("common is null").select(F.col("pivot").alias("x"), F.col("node").alias("y")), "unmeasured"))
+    edges = staged(edges.union(more.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
+    exact = first.union(more).select(F.col("x").alias("pivot"), F.col("y").alias("node"), F.col("common").alias("exact"), "differ")
+    # two nodes share ky + common - nx shingles, and one more for each difference to the pivot that they have in common;
+    # so nodes of different components need some such differences to link, at least as many as with the node that needs fewest
+    whole = F.lit(100 + percent)
+    around = many.drop("common").join(exact, ["pivot", "node"]).withColumn("owes", F.col("n") * percent - F.col("exact") * whole)
+    around = staged(around, "differences")
+    fewest = staged(around.groupBy("pivot").agg(F.min("owes").alias("fewest")), "fewest")
+    differing = around.select("pivot", "nx", "node", "n", "comp", "owes", F.explode("differ").alias("shingle"))
+    often = differing.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("often"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    often = staged(often.where("c1 <> c2").select("pivot", "shingle", "often"), "often")
+    # one of the common differences is among the rarer ones of each node (in one order for both)
     rank = F.row_number().over(W.partitionBy("pivot", "node").orderBy(F.col("often").desc(), "shingle"))  # within one text
-    ranked = staged(beyond.join(often, ["pivot", "shingle"]).withColumn("behind", rank), "ranked")
-    sides = ranked.select("pivot", "shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("common").alias("ky"), F.col("behind").alias("by"))
-    lacking = F.ceil((F.col("n") + F.col("ny")) * percent / F.lit(100 + percent)) - most
+    ranked = differing.join(often, ["pivot", "shingle"]).withColumn("behind", rank).join(fewest, "pivot")
+    ranked = staged(ranked.where(F.col("behind") >= F.ceil((F.col("owes") + F.col("fewest") + F.col("nx") * whole) / whole)).drop("fewest", "often"), "ranked")
+    sides = ranked.select("pivot", "shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("owes").alias("oy"), F.col("behind").alias("by"))
+    needed = F.ceil((F.col("owes") + F.col("oy") + F.col("nx") * whole) / whole)
     by_shingle = ranked.join(sides, ["pivot", "shingle"]).where("node < y and comp <> cy").where(links.could_link("n", "ny"))
-    by_shingle = by_shingle.where((lacking >= 1) & (F.col("behind") >= lacking) & (F.col("by") >= lacking))
-    second = links.check(pairs.union(by_shingle.select("node", "y")).distinct())
+    by_shingle = by_shingle.where((F.col("behind") >= needed) & (F.col("by") >= needed))
+    second = links.check(pairs.union(by_shingle.select(F.col("node").alias("x"), "y")).distinct())
     edges = edges.union(second.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     comps = components(spark, edges)

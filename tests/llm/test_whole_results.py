@@ -102,3 +102,29 @@ def test_ranges_hold_equal_bytes(spark):
     assert len(held) == 10 and held.max() <= 2 * total / 10 + max(size.values())
     tokens = out.groupby("doc_id")
     assert (tokens["length"].sum() == tokens["doc_tokens"].first()).all() and len(tokens) == len(texts)
+
+
+def test_nodes_unlike_their_pivot_meet_by_differences(spark, monkeypatch):
+    # 300 texts share buckets with one original that none of them reaches; every tenth has a twin of its own, edited alike
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = [base]
+    for i in range(300):
+        own = list(base)
+        for k in rng.choice(120, 24, replace=False):
+            own[k] = f"e{i}x{k}"
+        texts.append(own)
+        if i % 10 == 0:
+            texts.append([*own[:-1], f"twin{i}"])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts, check = [], minhash_dedup._Links.check
+    monkeypatch.setattr(minhash_dedup._Links, "check", lambda self, pairs: counts.append(pairs.count()) or check(self, pairs))
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.classes(df, width=2).collect()}
+    sets = [{*zip(t, t[1:], strict=False)} for t in texts]
+    near = [[100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    want = list(range(len(sets)))
+    for i, row in enumerate(near):  # texts stand beside their twins, so one pass reaches every link
+        want[i] = min(want[j] for j, linked in enumerate(row[: i + 1]) if linked)
+    assert got == dict(enumerate(want))
+    assert len(set(want)) == 301
+    assert sum(counts) <= 10 * len(texts), counts
