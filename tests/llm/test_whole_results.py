@@ -1,9 +1,14 @@
 """Rows and links that earlier versions lost: repeated and null ids, clashing names, sums that cancel out, mixed vectors."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docketry.llm import common, embedding_dedup, exact_dedup, minhash_dedup, packing, queries, suffix_dedup
+from docketry.session import tune
 
 PARA = " ".join(f"word{i}x" for i in range(120))
 NEAR = PARA.replace("word50x", "other")
@@ -128,3 +133,38 @@ def test_nodes_unlike_their_pivot_meet_by_differences(spark, monkeypatch):
     assert got == dict(enumerate(want))
     assert len(set(want)) == 301
     assert sum(counts) <= 10 * len(texts), counts
+
+
+def test_memory_of_runs_does_not_grow_with_the_text():
+    """A text is read in pieces, in the run finder's tables as in the powers they use; pieces change no interval."""
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, 3 << 20).astype(np.uint8).tobytes().decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], ["doc_id", "print", "text"])
+    tracemalloc.start()
+    try:
+        owned = [r for b in suffix_dedup._find(240, suffix_dedup.PIECE)(iter([batch])) for r in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 << 20
+    assert [a for a, _ in owned] == [0, *(b + 1 for _, b in owned[:-1])] and owned[-1][1] == len(text) - 240
+
+
+def test_repeats_across_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = "".join(map(chr, rng.integers(97, 123, 2500)))
+    df = spark.createDataFrame([(1, base + "tail"), (2, "head" + base[300:1900]), (3, base[1000:1200])], "doc_id long, text string")
+    whole = sorted(map(tuple, suffix_dedup.repeats(df, min_bytes=240).collect()))
+    assert [r[2] for r in whole] == [1600, 1600, 0]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    assert sorted(map(tuple, suffix_dedup.repeats(df, min_bytes=240).collect())) == whole
+
+
+def test_long_rows_go_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "n"])
+
+    rows = tune(spark).range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 8000).alias("text"))
+    got = rows.mapInArrow(sizes, "size long, n long").collect()
+    assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 6 << 20
