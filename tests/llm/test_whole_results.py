@@ -1,5 +1,6 @@
 """Rows and links that earlier versions lost: repeated and null ids, clashing names, sums that cancel out, mixed vectors."""
 
+import hashlib
 import tracemalloc
 
 import numpy as np
@@ -168,3 +169,17 @@ def test_long_rows_go_to_python_in_small_batches(spark):
     rows = tune(spark).range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 8000).alias("text"))
     got = rows.mapInArrow(sizes, "size long, n long").collect()
     assert sum(r["n"] for r in got) == 3000 and max(r["size"] for r in got) < 6 << 20
+
+
+def test_repeats_return_what_remains(spark):
+    """The remaining text itself, not only its length and digest; a cut inside a character drops that character's rest."""
+    base = "".join(chr(97 + k) for k in np.random.default_rng(8).integers(0, 26, 500))
+    texts = {1: "ab" + base, 2: base + "ö!", 3: "é" + base[:450], 4: "Ã" + base[:450], 5: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.repeats(df, min_bytes=400).collect()}
+    assert {i: r["kept_text"] for i, r in got.items()} == {1: "ab", 2: "ö!", 3: "é", 4: "Ã", 5: ""}
+    assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got.values())
+    # the second bytes of the two characters are equal, and so belong to the repeated string
+    df = spark.createDataFrame([(1, "xé" + base), (2, "yĩ" + base)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.repeats(df, min_bytes=400).collect()}
+    assert {i: (r["kept_text"], r["n_bytes"] - r["n_removed"]) for i, r in got.items()} == {1: ("x", 2), 2: ("y", 2)}
