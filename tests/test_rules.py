@@ -351,3 +351,24 @@ def test_hits_of_a_search_stay_where_the_chunk_is(spark):
     assert "hashpartitioning(search" not in found._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.search, str(r.chunk_id), r.score) for r in found.collect())
     assert got == [("p", "None", 2), ("p", "d1-0", 4), ("p", "d1-1", 1), ("p", "d3-0", 1), ("q", "d1-0", 4), ("q", "d1-0", 4)]
+
+
+def test_article_texts_are_looked_up_where_the_chunk_is(spark):
+    """Searches by an article text alone shuffle neither chunks nor words; those with words keep their own way beside them."""
+    from docketry.operators import search
+
+    chunks = spark.createDataFrame(
+        [("d1-0", 1, 0, 1, "Alpha, bêta"), ("d1-0", 1, 0, 1, "Alpha, bêta"), ("d1-1", 1, 1, 1, "alphabet a"), (None, 2, 0, 1, "alpha beta"), ("d3-0", 3, 70000, 9, None), ("d4-0", 4, None, 9, "x alpha  BETA")],
+        "chunk_id string, doc_id long, pos long, page_start int, text string",
+    )
+    rows = [("p", "", "ALPHA b"), ("q", "", "alpha"), ("r", "", "absent and longer than any chunk that there is"), ("s", "", "alpha")]
+    asked = spark.createDataFrame(rows, "request_id string, q string, article string")
+    found = search.matching_chunks(search.distinct_searches(asked)[0], chunks)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and "d1-0" not in plan and "chunk_id#" in plan
+    assert not [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line and ("chunk_id" in line or "word" in line)]
+    want = [("p", "d1-0"), ("p", "d1-0"), ("p", "d4-0"), ("q", "d1-0"), ("q", "d1-0"), ("q", "d1-1"), ("q", "d4-0")]
+    assert sorted((r.search, r.chunk_id) for r in found.collect()) == want
+    asked = asked.union(spark.createDataFrame([("w", "beta", "")], asked.schema))
+    got = sorted((r.search, str(r.chunk_id), r.score) for r in search.matching_chunks(search.distinct_searches(asked)[0], chunks).collect())
+    assert got == [(s, c, 0) for s, c in want] + [("w", "None", 1), ("w", "d1-0", 2), ("w", "d4-0", 1)]
