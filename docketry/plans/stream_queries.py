@@ -93,11 +93,11 @@ def run_to_end(spark, frame, mode: str, write) -> None:
     running.awaitTermination()
 
 
-def as_stream(spark, rows, parts: int, *by):
-    """The rows as a stream of ``parts`` files, dealt by a hash of ``by`` and so out of order; one file a batch."""
+def as_stream(spark, rows, parts: int, *by, files: int = 1):
+    """The rows as a stream of ``parts`` batches of ``files`` files, dealt by a hash of ``by`` and so out of order."""
     path = shared_dir(spark, "input")
-    rows.repartition(parts, F.xxhash64(*by)).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows.repartition(parts * files, F.xxhash64(*by)).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("folded_turns_stream", "S6 ST2 ST3", f"WITH {FOLD} SELECT * FROM fo", ("v_sse",))

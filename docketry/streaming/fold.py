@@ -7,7 +7,8 @@ answer, reasoning, status, finish_reason, rag_note, rag_sources.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docketry.operators.blocks import TEXT_BLOCK
-from docketry.streaming.waiting import DIRECTORY, Waiting
+from docketry.streaming.waiting import DIRECTORY, OfStream, Waiting, by_stream, group_of, stored
 
 # Fixed value: shown when an error event carries no detail.
 STREAM_ERROR = "Une erreur est survenue pendant le streaming."
@@ -28,6 +29,8 @@ STATE = (
     f"rag_sources string, last_seq bigint, n_events bigint, applied bigint, {DIRECTORY}"
 )
 EVENT = "event string, text string, note string, reason string, sources string"
+WAITING = f"numbers array<bigint>, events array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>"
+NAMES = [c.split()[0] for c in OUTPUT.split(", ")[1:]]
 KNOWN = ("meta", "token", "reasoning", "replace", "done", "error")
 EVENT_COLUMNS = ("note", "reason", "sources")
 
@@ -172,7 +175,7 @@ class TurnFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._turn = handle.getValueState("turn", STATE, self._ttl_ms)
-        self._later = handle.getMapState("later", "chunk bigint", f"numbers array<bigint>, events array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>", self._ttl_ms)
+        self._later = handle.getMapState("later", "chunk bigint", WAITING, self._ttl_ms)
 
     def _stored(self) -> tuple[Turn, Waiting]:
         *turn, ids, starts = self._turn.get()
@@ -182,14 +185,8 @@ class TurnFold(StatefulProcessor):
         turn, waiting = self._stored() if self._turn.exists() else (Turn([], [], applied=self._first_seq - 1), Waiting(self._later))
         later = waiting.open()
         for frame in rows:
-            self._take(turn, later, frame)
-        while turn.is_open and turn.applied + 1 in later:
-            turn.applied += 1
-            turn.apply(turn.applied, tuple(later.pop(turn.applied)))
-        if turn.is_open:
-            waiting.close(later)
-        elif len(waiting):
-            waiting.clear()
+            self._take(turn, later, frame[["seq", "event", "text", *EVENT_COLUMNS]].itertuples(index=False, name=None))
+        self._settle(turn, waiting, later)
         self._turn.update((*turn.values(), *waiting.directory()))
         if self._idle_ms and turn.is_open:
             for old in list(self._handle.listTimers()):
@@ -197,9 +194,10 @@ class TurnFold(StatefulProcessor):
             self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._idle_ms)
         yield self._row(key, self._with_later(turn, later))
 
-    def _take(self, turn: Turn, later: dict[int, tuple], frame: pd.DataFrame) -> None:
+    @staticmethod
+    def _take(turn: Turn, later: dict[int, tuple], rows: Iterable) -> None:
         """Apply what follows the turn without a gap; keep the rest by number."""
-        for seq, *event in frame[["seq", "event", "text", *EVENT_COLUMNS]].drop_duplicates("seq").sort_values("seq").itertuples(index=False, name=None):
+        for seq, *event in sorted(rows, key=itemgetter(0)):
             seq, event = int(seq), tuple(x if isinstance(x, str) else None for x in event)
             if not turn.is_open:
                 return
@@ -212,6 +210,17 @@ class TurnFold(StatefulProcessor):
             else:
                 later[seq] = event
 
+    @staticmethod
+    def _settle(turn: Turn, waiting: Waiting, later: dict[int, tuple]) -> None:
+        """Apply what waits no longer and store what does."""
+        while turn.is_open and turn.applied + 1 in later:
+            turn.applied += 1
+            turn.apply(turn.applied, tuple(later.pop(turn.applied)))
+        if turn.is_open:
+            waiting.close(later)
+        elif len(waiting):
+            waiting.clear()
+
     @staticmethod
     def _with_later(turn: Turn, later: dict[int, tuple]) -> Turn:
         """The turn with the events beyond its gaps."""
@@ -241,27 +250,50 @@ class TurnFold(StatefulProcessor):
 
     @staticmethod
     def _row(key, turn: Turn) -> pd.DataFrame:
-        names = [c.split()[0] for c in OUTPUT.split(", ")[1:]]
-        return pd.DataFrame({"stream_id": [key[0]], **{n: [v] for n, v in zip(names, turn.values(), strict=False)}})
+        return pd.DataFrame({"stream_id": [key[0]], **{n: [v] for n, v in zip(NAMES, turn.values(), strict=False)}})
+
+
+class TurnFolds(TurnFold):
+    """``TurnFold`` for streams that come in groups; without timers."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._turn = handle.getMapState("turn", "stream string", STATE, self._ttl_ms)
+        self._later = handle.getMapState("later", "stream string, chunk bigint", WAITING, self._ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = by_stream(rows, ["seq", "event", "text", *EVENT_COLUMNS])
+        out = []
+        for stream, at in stored(self._turn, new):
+            *held, ids, starts = at or ((), ())
+            turn = Turn.of(*held) if held else Turn([], [], applied=self._first_seq - 1)
+            waiting = Waiting(OfStream(self._later, stream), ids, starts)
+            later = waiting.open()
+            self._take(turn, later, new.pop(stream))
+            self._settle(turn, waiting, later)
+            self._turn.updateValue((stream,), (*turn.values(), *waiting.directory()))
+            out.append((stream, *self._with_later(turn, later).values()[: len(NAMES)]))
+        yield pd.DataFrame(out, columns=["stream", *NAMES])
 
 
 def fold_stream(events: DataFrame, ttl_ms: int | None = None, idle_ms: int | None = None, first_seq: int = 1) -> DataFrame:
     """The stateful form; needs the RocksDB state store. Emits the turn after every batch (update).
 
     Events of a stream are numbered from ``first_seq`` on, usually without holes; a hole only keeps
-    the events after it in the state one by one.
+    the events after it in the state one by one. Streams are folded in groups; with ``idle_ms`` each has timers and calls of its own.
     """
-    return (
-        _complete(events)
-        .select("stream_id", "seq", "event", "text", *EVENT_COLUMNS)
-        .groupBy("stream_id")
-        .transformWithStateInPandas(
-            statefulProcessor=TurnFold(first_seq, ttl_ms, idle_ms),
-            outputStructType=OUTPUT,
-            outputMode="update",
-            timeMode="ProcessingTime" if (ttl_ms or idle_ms) else "none",
-        )
+    columns = ["seq", "event", "text", *EVENT_COLUMNS]
+    if idle_ms:
+        rows, one = _complete(events).select("stream_id", *columns).groupBy("stream_id"), TurnFold(first_seq, ttl_ms, idle_ms)
+        return rows.transformWithStateInPandas(statefulProcessor=one, outputStructType=OUTPUT, outputMode="update", timeMode="ProcessingTime")
+    # the name of a stream travels as text: pandas has no whole numbers with NULLs among them
+    rows = _complete(events).select(group_of("stream_id"), F.col("stream_id").cast("string").alias("stream"), *columns)
+    turns = rows.groupBy("group").transformWithStateInPandas(
+        statefulProcessor=TurnFolds(first_seq, ttl_ms),
+        outputStructType=OUTPUT.replace("stream_id bigint", "stream string"),
+        outputMode="update",
+        timeMode="ProcessingTime" if ttl_ms else "none",
     )
+    return turns.select(F.col("stream").cast("bigint").alias("stream_id"), *NAMES)
 
 
 def close_open_turns(turns: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from docketry.functions.jsontext import strict_json
 from docketry.functions.text import BLANKS, let, strip
-from docketry.streaming.waiting import DIRECTORY, Waiting
+from docketry.streaming.waiting import DIRECTORY, OfStream, Waiting, by_stream, group_of, stored
 
 DEFAULT_EVENT = "message"
 
@@ -46,7 +47,7 @@ def parse_packets(packets: DataFrame, keep_numbers: bool = False) -> DataFrame:
 
 
 class PacketCutter(StatefulProcessor):
-    """State of one body: the bytes behind its last blank line, and the pieces that came ahead of their turn.
+    """State of one body: the bytes behind its last blank line, and the pieces that came ahead of their turn. Bodies come in groups.
 
     Pieces are numbered from ``first_piece`` on. Carriage returns are dropped, a blank line ends a packet, blank packets
     count as none; packets are numbered from 1. Replayed pieces are ignored. Bytes are decoded packet by packet, so a
@@ -57,21 +58,32 @@ class PacketCutter(StatefulProcessor):
         self._first = first_piece
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._at = handle.getValueState("at", f"piece bigint, packets bigint, tail binary, {DIRECTORY}")
-        self._later = handle.getMapState("later", "chunk bigint", "pieces array<bigint>, bodies array<binary>")
+        self._at = handle.getMapState("at", "stream string", f"piece bigint, packets bigint, tail binary, {DIRECTORY}")
+        self._later = handle.getMapState("later", "stream string, chunk bigint", "pieces array<bigint>, bodies array<binary>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        piece, packets, tail, ids, starts = self._at.get() if self._at.exists() else (self._first, 0, b"", (), ())
-        tail, waiting = bytearray(tail), Waiting(self._later, ids, starts)
+        new = by_stream(rows, ["piece", "body"])
+        out: tuple[list, list, list] = ([], [], [])
+        for stream, at in stored(self._at, new):
+            found, packets = self._one(stream, at, sorted(new[stream], key=itemgetter(0)))
+            out[0].extend([stream] * len(found))
+            out[1].extend(range(packets + 1, packets + 1 + len(found)))
+            out[2].extend(found)
+        if out[0]:
+            yield pd.DataFrame(dict(zip(("stream", "seq", "packet"), out, strict=True)))
+
+    def _one(self, stream: str | None, at: tuple | None, rows: list) -> tuple[list[str], int]:
+        """The packets that the new pieces of a body finish, and how many there were before."""
+        piece, packets, tail, ids, starts = at or (self._first, 0, b"", (), ())
+        tail, waiting = bytearray(tail), Waiting(OfStream(self._later, stream), ids, starts)
         found: list[str] = []
         ahead: dict[int, bytes] = {}
-        for frame in rows:
-            for number, body in frame[["piece", "body"]].sort_values("piece").itertuples(index=False, name=None):
-                if number == piece:
-                    piece += 1
-                    _cut(tail, bytes(body), found)
-                elif number > piece:
-                    ahead[int(number)] = bytes(body)
+        for number, body in rows:
+            if number == piece:
+                piece += 1
+                _cut(tail, bytes(body), found)
+            elif number > piece:
+                ahead[int(number)] = bytes(body)
         while True:
             ahead = waiting.open(piece) | ahead
             if piece not in ahead:
@@ -80,10 +92,8 @@ class PacketCutter(StatefulProcessor):
                 _cut(tail, bytes(ahead.pop(piece)), found)
                 piece += 1
         waiting.close({n: body for n, body in ahead.items() if n > piece})
-        self._at.update((int(piece), packets + len(found), bytes(tail), *waiting.directory()))
-        if found:
-            numbers = range(packets + 1, packets + 1 + len(found))
-            yield pd.DataFrame({"stream_id": [key[0]] * len(found), "seq": list(numbers), "packet": found})
+        self._at.updateValue((stream,), (int(piece), packets + len(found), bytes(tail), *waiting.directory()))
+        return found, packets
 
     def close(self) -> None:
         pass
@@ -107,11 +117,14 @@ def cut_pieces(pieces: DataFrame, first_piece: int = 0) -> DataFrame:
 
     Append mode, RocksDB. A body's state is its unfinished packet, and the pieces ahead of a missing one.
     """
-    kind = pieces.schema["stream_id"].dataType.simpleString()
-    rows = pieces.select("stream_id", F.col("piece").cast("bigint").alias("piece"), F.coalesce(F.col("body").cast("binary"), F.lit(b"")).alias("body"))
-    return rows.groupBy("stream_id").transformWithStateInPandas(
-        statefulProcessor=PacketCutter(first_piece), outputStructType=f"stream_id {kind}, seq bigint, packet string", outputMode="append", timeMode="none"
+    kind = pieces.schema["stream_id"].dataType
+    # the name of a body travels as text: pandas has no whole numbers with NULLs among them
+    body = F.coalesce(F.col("body").cast("binary"), F.lit(b"")).alias("body")
+    rows = pieces.select(group_of("stream_id"), F.col("stream_id").cast("string").alias("stream"), F.col("piece").cast("bigint").alias("piece"), body)
+    found = rows.groupBy("group").transformWithStateInPandas(
+        statefulProcessor=PacketCutter(first_piece), outputStructType="stream string, seq bigint, packet string", outputMode="append", timeMode="none"
     )
+    return found.select(F.col("stream").cast(kind).alias("stream_id"), "seq", "packet")
 
 
 def split_bodies(bodies: DataFrame) -> DataFrame:

@@ -6,8 +6,53 @@ each ``CHUNK`` of them, and read back the same way.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 CHUNK = 4096
 DIRECTORY = "ids array<bigint>, starts array<bigint>"
+#: Groups that streams are dealt to. A call for a group serves all of its streams, since a call costs as much as thousands of rows;
+#: a task holds the new rows of one group.
+GROUPS = 2048
+
+
+def group_of(stream: str) -> Column:
+    return F.pmod(F.xxhash64(stream), F.lit(GROUPS)).cast("int").alias("group")
+
+
+def by_stream(frames: Iterable[pd.DataFrame], columns: list[str]) -> dict:
+    """The rows (as tuples of ``columns``) of each ``stream`` of a group's new rows."""
+    found: dict = {}
+    for frame in frames:
+        for stream, *row in zip(frame["stream"].tolist(), *(frame[c].tolist() for c in columns), strict=True):
+            found.setdefault(stream if isinstance(stream, str) else None, []).append(row)
+    return found
+
+
+def stored(state, streams: Iterable[str | None]) -> Iterator[tuple[str | None, tuple | None]]:
+    """Every stream with its value in the map state ``state``; a group without any is asked once."""
+    some = state.exists()
+    for stream in list(streams):
+        yield stream, state.getValue((stream,)) if some and state.containsKey((stream,)) else None
+
+
+class OfStream:
+    """The part of a map state, keyed by stream and chunk, that belongs to one stream."""
+
+    def __init__(self, state, stream: str | None):
+        self._state, self._stream = state, stream
+
+    def getValue(self, key: tuple) -> tuple:
+        return self._state.getValue((self._stream, *key))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self._state.updateValue((self._stream, *key), value)
+
+    def removeKey(self, key: tuple) -> None:
+        self._state.removeKey((self._stream, *key))
 
 
 class Waiting:
@@ -49,7 +94,8 @@ class Waiting:
         self._opened = {}
 
     def clear(self) -> None:
-        self._chunks.clear()
+        for k in self._starts:
+            self._chunks.removeKey((k,))
         self._starts, self._opened = {}, {}
 
     def directory(self) -> tuple[list[int], list[int]]:

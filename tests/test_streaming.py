@@ -352,3 +352,53 @@ def test_waiting_rows_share_state_calls():
     assert again.open(4) == {} and len(again.open(5)) == CHUNK
     again.close({n: f"x{n}" for n in range(7, 5 + CHUNK)})
     assert len(calls) == 3 and sorted(n for v in state.values() for n in v[0]) == list(range(7, 5 + CHUNK + 1))
+
+
+def test_streams_of_a_group_share_calls(monkeypatch):
+    """The new rows of many streams are one call of the processor, each stream with one read and one write of its state."""
+    import pandas as pd
+
+    class Map(dict):
+        def getValue(self, k):
+            return self[k]
+
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+        removeKey = dict.__delitem__
+
+        def containsKey(self, k):
+            return k in self
+
+        def exists(self):
+            return bool(self)
+
+    class Handle:
+        def __init__(self):
+            self.maps = {}
+
+        def getMapState(self, name, *_):
+            return self.maps.setdefault(name, Map())
+
+    calls, handle = [], Handle()
+    one = fold.TurnFolds(1)
+    one.init(handle)
+    columns = ["stream", "seq", "event", "text", "note", "reason", "sources"]
+
+    def run(rows):
+        frames = [pd.DataFrame([(*r, None, None, None) for r in rows[i::2]], columns=columns) for i in range(2)]
+        return {r.stream: (r.answer, r.status, r.last_seq) for f in one.handleInputRows((7,), iter(frames), None) for r in f.itertuples()}
+
+    rows = [(s, n, "token", f"{s}{n} ") for n in (4, 1, 2) for s in ("a", "b", None)]
+    want = {s: (f"{s}1 {s}2 {s}4 ", "streaming", 4) for s in ("a", "b", None)}
+    assert run(rows) == want
+    assert len(calls) == 6 and len(handle.maps["later"]) == 3
+    assert run([("a", 3, "token", "a3 "), ("a", 5, "done", None), ("a", 2, "token", "again")]) == {"a": ("a1 a2 a3 a4 ", "done", 5)}
+    assert len(handle.maps["later"]) == 2 and set(handle.maps["turn"]) == {("a",), ("b",), (None,)}
+    cutter = packets.PacketCutter(0)
+    handle = Handle()
+    cutter.init(handle)
+    pieces = pd.DataFrame([("x", 1, b"o\n\ntwo\n"), ("y", 0, b"one\n\n"), ("x", 0, b"tw")], columns=["stream", "piece", "body"])
+    assert [f.values.tolist() for f in cutter.handleInputRows((3,), iter([pieces]), None)] == [[["x", 1, "two"], ["y", 1, "one"]]]
+    assert handle.maps["at"][("x",)][2] == b"two\n"
