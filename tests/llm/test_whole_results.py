@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm import common, embedding_dedup, exact_dedup, minhash_dedup, packing, queries, suffix_dedup
+from docketry.llm import common, embedding_dedup, exact_dedup, minhash_dedup, packing, passages, queries, suffix_dedup
 from docketry.session import tune
 
 PARA = " ".join(f"word{i}x" for i in range(120))
@@ -183,3 +183,21 @@ def test_repeats_return_what_remains(spark):
     df = spark.createDataFrame([(1, "xé" + base), (2, "yĩ" + base)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in suffix_dedup.repeats(df, min_bytes=400).collect()}
     assert {i: (r["kept_text"], r["n_bytes"] - r["n_removed"]) for i, r in got.items()} == {1: ("x", 2), 2: ("y", 2)}
+
+
+@pytest.mark.parametrize("met", [1, 1024])
+def test_all_pairs_of_a_group_are_compared(spark, monkeypatch, met):
+    """Texts that others connect already are compared too: every link counts, and passages that only two of them share are spans."""
+    monkeypatch.setattr(passages, "MET", met)
+    every = [f"p{i}" for i in range(60)]
+
+    def text(k, *more):
+        return " ".join([w for part in ([f"own{k}a{i}" for i in range(60)], every, [f"own{k}b{i}" for i in range(60)], *more) for w in part])
+
+    def two(j, k):
+        return [f"two{min(j, k)}{max(j, k)}w{i}" for i in range(55)] + [f"end{j}{k}x{i}" for i in range(60)]
+
+    rows = [(k, text(k, *(two(k, j) for j in range(5) if j != k))) for k in range(5)]
+    got = {r["doc_id"]: r for r in passages.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[k]["component_id"], got[k]["n_links"]) for k in range(5)] == [(0, 4)] * 5
+    assert all([(s["first"], s["last"]) for s in got[k]["spans"]] == [(60, 119)] + [(180 + 115 * j, 234 + 115 * j) for j in range(4)] for k in range(5))
